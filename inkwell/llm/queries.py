@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.llm.copies import collapse, find_copies
+from inkwell.llm.lines import prefix_span, repeated_lines, without_repeated
+from inkwell.llm.survivors import survivors
 from inkwell.plans.registry import Query
 from inkwell.session import materialize, table
 
@@ -29,3 +32,37 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rec, id, n_copies``: every hit and merged record once."""
     docs, merged = table(spark, sf_dir, "docs"), table(spark, sf_dir, "merged")
     return collapse(docs, merged, materialize(p1_found(spark, sf_dir), "copies"))
+
+
+@_query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``group_id, body_id, publish_id, sources_key`` of every page with several records."""
+    return survivors(table(spark, sf_dir, "merged"))
+
+
+@_query
+def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of every page with several records, with its values."""
+    return survivors(table(spark, sf_dir, "merged"), with_values=True)
+
+
+@_query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hit_id, line_no`` of every line that its site repeats."""
+    docs, sites = table(spark, sf_dir, "docs"), table(spark, sf_dir, "sites")
+    return repeated_lines(docs, sites, prefix_span(docs, sites))
+
+
+@_query
+def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent sequences of lines of each site: length, identifiers, rows that hold them."""
+    return prefix_span(table(spark, sf_dir, "docs"), table(spark, sf_dir, "sites")).withColumn(
+        "items", F.transform("items", lambda x: F.concat(F.lower(F.hex(x["a"])), F.lower(F.hex(x["b"]))))
+    )
+
+
+@_query
+def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hit_id, body`` of every hit, without the lines its site repeats."""
+    docs, sites = table(spark, sf_dir, "docs"), table(spark, sf_dir, "sites")
+    return without_repeated(docs, sites, prefix_span(docs, sites))
