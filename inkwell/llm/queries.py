@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions.urls import site_of
 from inkwell.llm.copies import collapse, find_copies
 from inkwell.llm.lines import prefix_span, repeated_lines, without_repeated
 from inkwell.llm.survivors import survivors
+from inkwell.llm.truncation import truncated, truncation_rates
 from inkwell.plans.registry import Query
 from inkwell.session import materialize, table
 
@@ -66,3 +68,17 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``hit_id, body`` of every hit, without the lines its site repeats."""
     docs, sites = table(spark, sf_dir, "docs"), table(spark, sf_dir, "sites")
     return without_repeated(docs, sites, prefix_span(docs, sites))
+
+
+@_query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hit_id`` of every hit whose body was cut off."""
+    return truncated(table(spark, sf_dir, "docs"))
+
+
+@_query
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source and site cuts."""
+    docs = table(spark, sf_dir, "docs")
+    sites = docs.select("hit_id", "source", site_of(F.col("site"), F.col("url")).alias("site"))
+    return truncation_rates(sites, truncated(docs))
