@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.urls import site_of
+from inkwell.llm.boilerplate import main_body
 from inkwell.llm.copies import collapse, find_copies
 from inkwell.llm.lines import prefix_span, repeated_lines, without_repeated
 from inkwell.llm.survivors import survivors
@@ -82,3 +83,17 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "docs")
     sites = docs.select("hit_id", "source", site_of(F.col("site"), F.col("url")).alias("site"))
     return truncation_rates(sites, truncated(docs))
+
+
+@_query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hit_id, line_no`` of every line around the article."""
+    docs = table(spark, sf_dir, "docs")
+    return main_body(docs, docs.count())
+
+
+@_query
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hit_id, body`` of every hit, the article's lines only."""
+    docs = table(spark, sf_dir, "docs")
+    return main_body(docs, docs.count(), emit="bodies")
