@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.urls import site_of
+from inkwell.functions.urls import canonical_url, site_of, strip
 from inkwell.operators.skew import lookup_join
 from inkwell.session import materialize
 
@@ -43,6 +43,7 @@ _SEVERAL_LINKS = re.compile(r"\s*(?:\[[^\]]*\]\([^)]*\)[\s|·•,/-]*){2,}$")
 _REFERENCE = re.compile(r"\s*\[\^?\d{1,3}\]:?\s*\S")
 _SENTENCE = re.compile(r".+?(?:[。！？!?；;]+[”’\"'）)」』】]*|\.(?=\s|$)[”’\"')]*|$)", re.S)
 _END = re.compile(r"(?:[。！？!?]|…|(?<!\d)\.|\d\.(?=$))[”’\"'）)」』】*_]*$")
+_CUT = re.compile(r"(?:\[(?:\.{3}|…)\]|\.{3}|…|�)$")
 # Words that close a text.
 _CLOSING = re.compile(
     r"\W*(?:全文完|本文完|正文完|完|完结|end|the end|fin|end of (?:report|article|story|text|post|document))\W*$", re.I
@@ -166,6 +167,12 @@ def _item_like(line: Line) -> bool:
     return line.tag in ("li", "la", "ni", "a") or (line.tag == "p" and not line.ended)
 
 
+def _heads_a_list(lines: list[Line], k: int) -> bool:
+    """Whether two marked items follow a line at once."""
+    after = lines[k + 1 : k + 3]
+    return len(after) == 2 and all(x.tag in ("li", "ni", "a") and not x.ended and not x.blank_before for x in after)
+
+
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         dense, alone = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -202,23 +209,30 @@ def _votes(broadcast) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shares = broadcast.value
         for b in batches:
-            found: dict[tuple[str, int], list[float]] = {}
-            for host, body in zip(b["host"], b["body"], strict=True):
-                seen: dict[int, float] = {}
-                for line in lines_of(body):
+            found: dict[tuple[str, int], list] = {}
+            for host, page, body in zip(b["host"], b["page"], b["body"], strict=True):
+                bit = 0 if page is None or page != page else 1 << int(page)
+                seen: dict[int, tuple[float, bool]] = {}
+                lines = lines_of(body)
+                for k, line in enumerate(lines):
                     if line.tag not in ("t", "c", "r") and not line.dense:
                         path = line.path
                         if path not in seen:
-                            seen[path] = _score(line, shares) if line.ended else 0.0
-                for path, score in seen.items():
-                    v = found.setdefault((host, path), [0, 0.0])
+                            score = _score(line, shares) if line.ended else 0.0
+                            seen[path] = score, _heads_a_list(lines, k)
+                for path, (score, heads) in seen.items():
+                    v = found.setdefault((host, path), [0, 0.0, 0, 0])
                     v[0] += 1
                     v[1] += score
+                    v[2] |= bit
+                    v[3] += heads
             yield pd.DataFrame(
                 {
                     "host": [k[0] for k in found],
                     "path": [k[1] for k in found],
-                    "pages": np.array([v[0] for v in found.values()], np.int64),
+                    "rows": np.array([v[0] for v in found.values()], np.int64),
+                    "bits": np.array([v[2] for v in found.values()], np.int64),
+                    "heads": np.array([v[3] for v in found.values()], np.int64),
                     "score": np.array([v[1] for v in found.values()], np.float64),
                 }
             )
@@ -226,15 +240,15 @@ def _votes(broadcast) -> object:
     return run
 
 
-def _label(lines: list[Line], title: str | None, own: dict[int, bool], shares: np.ndarray) -> None:
-    """Marks the article's lines. ``own``: the winning paths, True for content."""
+def _label(lines: list[Line], title: str | None, own: dict[int, bool], heads: frozenset[int], shares: np.ndarray) -> None:
+    """Marks the article's lines. ``own``: the winning paths, True for content; ``heads``: those that head lists."""
     name = _folded(title)
     beside = False  # inside a list beside the article
     for k, line in enumerate(lines):
         tag, last = line.tag, k == len(lines) - 1
         verdict = own.get(line.path) if tag not in ("t", "c", "r") and not line.dense else None
         titled = bool(name) and _folded(line.text) == name
-        if beside and (line.blank_before or not _item_like(line) or (titled and tag == "p")):
+        if beside and (line.blank_before or not _item_like(line) or (titled and tag in ("p", "ni"))):
             beside = False
         if tag in ("t", "c", "r"):
             line.article = True
@@ -244,7 +258,7 @@ def _label(lines: list[Line], title: str | None, own: dict[int, bool], shares: n
             line.article = True
         elif beside:
             line.article = False
-        elif titled and tag in ("p", "h", "b"):
+        elif titled and tag in ("p", "h", "b", "ni"):
             line.article = True
         elif tag in ("h", "b"):
             line.article = verdict is None
@@ -252,11 +266,13 @@ def _label(lines: list[Line], title: str | None, own: dict[int, bool], shares: n
             line.article = False
         elif tag == "li":
             line.article = verdict is not False
+        elif last and verdict is None and _CUT.search(line.text):
+            line.article = True
         elif line.ended:
             line.article = verdict if verdict is not None else _score(line, shares) >= 0.5
         else:
             line.article = verdict is None and last and _score(line, shares) >= 0.6
-        if not line.article and not line.ended and tag in ("h", "b", "p") and verdict is False:
+        if verdict is False and not line.article and (tag in ("h", "b") or (tag == "p" and line.path in heads)):
             beside = True
 
 
@@ -264,6 +280,7 @@ def _extract(broadcast, emit: str) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shares, everywhere = broadcast.value
         common = dict.fromkeys(everywhere[0].tolist(), False) | dict.fromkeys(everywhere[1].tolist(), True)
+        heads = frozenset(everywhere[2].tolist())
         for b in batches:
             ids, numbers, bodies = [], [], []
             for hit, title, body, poor, rich in zip(b["hit_id"], b["title"], b["body"], b["poor"], b["rich"], strict=True):
@@ -271,7 +288,7 @@ def _extract(broadcast, emit: str) -> object:
                 own |= dict.fromkeys(rich if rich is not None else (), True)
                 own |= dict.fromkeys(poor if poor is not None else (), False)
                 lines = lines_of(body)
-                _label(lines, title, own, shares)
+                _label(lines, title, own, heads, shares)
                 if emit == "lines":
                     out = [x.no for x in lines if not x.article]
                     ids += [hit] * len(out)
@@ -301,8 +318,9 @@ def main_body(
     ``emit="lines"`` gives ``hit_id, line_no`` of each line that is not blank
     and not of the article; ``emit="bodies"`` gives ``hit_id, body`` with the
     article's lines and the blank lines between them. A path wins on a host
-    that shows it on ``host_share`` of its pages, anywhere on ``common_share``
-    of all pages, at least ``least_pages`` each; it wins as content if its
+    that shows it on ``host_share`` of its rows, anywhere on ``common_share``
+    of all rows and four times ``least_pages`` at least, and on at least
+    ``least_pages`` different pages; it wins as content if its
     lines score 0.5 or more on average. At most ``1 / common_share`` times the
     mean number of lines of a page can win everywhere, which bounds what is
     broadcast beside the ``BUCKETS`` shares. ``total`` is the number of rows.
@@ -313,28 +331,33 @@ def main_body(
     """
     spark = docs.sparkSession
     pages = docs.where(F.col("body").isNotNull()).select(
-        "hit_id", "title", "body", F.coalesce(site_of(F.col("site"), F.col("url")), F.lit("")).alias("host")
+        "hit_id", "title", "body", F.coalesce(site_of(F.col("site"), F.col("url")), F.lit("")).alias("host"),
+        F.when(strip(F.col("url")) != "", F.pmod(F.xxhash64(canonical_url(F.col("url"))), F.lit(63))).alias("page"),
     )
     shares = gram_shares(pages.select("body"))
     told = spark.sparkContext.broadcast(shares)
-    votes = pages.select("host", "body").mapInPandas(_votes(told), "host string, path bigint, pages bigint, score double")
-    votes = materialize(votes.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("score").alias("score")), "paths")
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    content = F.col("score") >= 0.5 * F.col("pages")
+    votes = pages.select("host", "page", "body").mapInPandas(
+        _votes(told), "host string, path bigint, rows bigint, bits bigint, heads bigint, score double"
+    )
+    tally = [F.sum("rows").alias("rows"), F.sum("heads").alias("heads"), F.bit_or("bits").alias("bits"), F.sum("score").alias("score")]
+    votes = materialize(votes.groupBy("host", "path").agg(*tally), "paths")
+    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_rows"))
+    content = F.col("score") >= 0.5 * F.col("rows")
+    enough = F.bit_count("bits") >= least_pages
     everywhere = (
         votes.groupBy("path")
-        .agg(F.sum("pages").alias("pages"), F.sum("score").alias("score"), F.count(F.lit(1)).alias("hosts"))
-        .where((F.col("pages") >= max(common_share * total, least_pages)) & (F.col("hosts") > 1))
-        .select("path", content.alias("content"))
+        .agg(*tally, F.count(F.lit(1)).alias("hosts"))
+        .where((F.col("rows") >= max(common_share * total, 4 * least_pages)) & (F.col("hosts") > 1) & enough)
+        .select("path", content.alias("content"), (F.col("heads") >= 0.25 * F.col("rows")).alias("heads"))
         .toPandas()
     )
     wins = (
-        votes.where(F.col("pages") >= least_pages)
+        votes.where(enough)
         .join(sizes, "host")
-        .where(F.col("pages") >= host_share * F.col("host_pages"))
+        .where(F.col("rows") >= host_share * F.col("host_rows"))
         .groupBy("host")
         .agg(
-            F.max("host_pages").alias("host_pages"),
+            F.max("host_rows").alias("host_rows"),
             F.collect_list(F.when(~content, F.col("path"))).alias("poor"),
             F.collect_list(F.when(content, F.col("path"))).alias("rich"),
         )
@@ -342,8 +365,9 @@ def main_body(
     common = (
         everywhere.loc[~everywhere["content"].astype(bool), "path"].to_numpy(np.int64),
         everywhere.loc[everywhere["content"].astype(bool), "path"].to_numpy(np.int64),
+        everywhere.loc[everywhere["heads"].astype(bool), "path"].to_numpy(np.int64),
     )
-    rows = lookup_join(pages, wins, ["host"], "host_pages", total, "hit_id")
+    rows = lookup_join(pages.drop("page"), wins, ["host"], "host_rows", total, "hit_id")
     schema = "hit_id bigint, line_no bigint" if emit == "lines" else "hit_id bigint, body string"
     chosen = rows.select("hit_id", "title", "body", "poor", "rich")
     return chosen.mapInPandas(_extract(spark.sparkContext.broadcast((shares, common)), emit), schema)
