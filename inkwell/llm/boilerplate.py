@@ -2,17 +2,17 @@
 
 Consensus host paths. A body is cut into containers: runs of lines of one tag.
 A line's path is its tag with its generalised class, the text without digits,
-targets and marks. Containers are scored by how much their word trigrams
-belong to dense running text anywhere in the corpus. Each host's pages vote
-on its paths; paths on many hosts are voted on by all. Pages are then
-extracted again, by the winning paths where there are some and by their own
-score where there are none.
+targets and marks. Containers are scored by how much their windows of
+three words belong to dense running text anywhere in the corpus. Each host's
+pages vote on its paths; paths on many hosts are voted on by all. Pages are
+then extracted again, by the winning paths where there are some and by their
+own score where there are none.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,12 +25,9 @@ from inkwell.functions.urls import canonical_url, site_of, strip
 from inkwell.operators.skew import lookup_join
 from inkwell.session import materialize
 
-#: Trigrams are counted in this many buckets, which bounds what is broadcast.
+#: Windows are counted in this many buckets, which bounds what is broadcast.
 BUCKETS = 1 << 20
 
-_HAN = "㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
-_TOKENS = re.compile(rf"[{_HAN}]|[^\W\d_{_HAN}]+|\d+(?:[.,:]\d+)*|[^\s\w]")
-_WIDE = re.compile(rf"[{_HAN}]")
 _TARGET = re.compile(r"\]\([^)\s]*\)")
 _ADDRESS = re.compile(r"https?://\S+")
 _FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})")
@@ -48,106 +45,146 @@ _CUT = re.compile(r"(?:\[(?:\.{3}|…)\]|\.{3}|…|�)$")
 _CLOSING = re.compile(
     r"\W*(?:全文完|本文完|正文完|完|完结|end|the end|fin|end of (?:report|article|story|text|post|document))\W*$", re.I
 )
-_SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
 
-@lru_cache(maxsize=1 << 16)
-def _token_hash(token: str) -> int:
-    return xxhash.xxh64_intdigest("9" if token[0].isdigit() else token)
+@lru_cache(maxsize=1)
+def _fold() -> np.ndarray:
+    """Fold of each code point: small letters, digits alike, white space alike; 0 to skip it."""
+    out = np.arange(0x110000, dtype=np.uint64)
+    for c in range(0x3001):
+        ch = chr(c)
+        low = ch.lower()
+        out[c] = ord("9") if ch.isdigit() else ord(" ") if ch.isspace() else ord(low) if len(low) == 1 else c
+    out[[0x0, 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]] = 0
+    return out
+
+
+#: Characters of a window: about three words, with and without spaces between words.
+_SPACED, _WIDE_SIZE, _WIDE_FROM = 14, 5, 0x2E80
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
 
+def window_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the windows of about three words of texts, and which text each is from.
 
-def trigram_buckets(text: str) -> np.ndarray:
-    """Buckets of the trigrams of a text; a word without spaces around counts as two characters."""
-    tokens = _TOKENS.findall(_ADDRESS.sub("", _TARGET.sub("]", text.lower())))
-    n = len(tokens)
-    if n < 3:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(_token_hash, tokens), np.uint64, n)
-    wide = np.fromiter((bool(_WIDE.match(t)) for t in tokens), bool, n)
+    Rolling hashes over folded characters; runs of digits and of white space
+    count as one.
+    """
+    texts = [_ADDRESS.sub("", _TARGET.sub("]", x)) if "](" in x or "://" in x else x for x in texts]
+    sizes = np.array([len(x) for x in texts], np.int64)
+    codes = _fold()[np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)]
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    kept = codes != 0
+    run = (codes[1:] == codes[:-1]) & ((codes[1:] == ord("9")) | (codes[1:] == ord(" "))) & (owner[1:] == owner[:-1])
+    kept[1:] &= ~run
+    codes, owner = codes[kept], owner[kept]
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    counts = np.bincount(owner, minlength=len(texts))
+    place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
     with np.errstate(over="ignore"):
-        tri = h[2:] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[:-2] * np.uint64(0x165667B19E3779F9))
-        five = tri.copy()
-        five[2:] ^= (h[1:-3] * np.uint64(0x27D4EB2F165667C5)) ^ (h[:-4] * np.uint64(0x85EBCA77C2B2AE63))
-        keep = np.where(wide[2:], five, tri)
-        if n >= 5:
-            ok = ~wide[2:] | (np.arange(n - 2) >= 2)
-        else:
-            ok = ~wide[2:]
-        return ((keep[ok] * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(44)).astype(np.int64) % BUCKETS
+        mixed = (codes + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(33)
+        down = np.cumprod(np.full(n, _INVERSE, np.uint64))
+        up = np.cumprod(np.full(n, _BASE, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * down)])
+        wide = codes >= _WIDE_FROM
+        size = np.where(wide, _WIDE_SIZE, _SPACED)
+        at = np.flatnonzero(place >= size - 1)
+        keys = (sums[at + 1] - sums[at + 1 - size[at]]) * up[at]
+        keys ^= keys >> np.uint64(29)
+        return ((keys * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(44)).astype(np.int64) % BUCKETS, owner[at]
 
 
 class Line:
     """One line that is not blank: its number, tag, text without marks, and what is known of it."""
 
-    __slots__ = ("no", "tag", "text", "ended", "dense", "blank_before", "article")
+    __slots__ = ("no", "tag", "text", "ended", "dense", "blank_before", "article", "_path")
 
     def __init__(self, no: int, tag: str, text: str, blank_before: bool):
         self.no, self.tag, self.text, self.blank_before = no, tag, text, blank_before
-        self.ended = bool(_END.search(text))
+        self.ended = bool(_END.search(text[-12:]))
         self.dense = False
         self.article = False
+        self._path: int | None = None
 
     @property
     def path(self) -> int:
         """64 bits of the tag's kind and the generalised class."""
-        kind = "s" if self.ended else "w"
-        key = _SPACE.sub("", _DIGITS.sub("9", _ADDRESS.sub("", _TARGET.sub("]", self.text.lower()))))
-        return xxhash.xxh64_intdigest(kind + key) - (1 << 63)
+        if self._path is None:
+            key = self.text.lower()
+            if "](" in key or "://" in key:
+                key = _ADDRESS.sub("", _TARGET.sub("]", key))
+            key = _DIGITS.sub("9", "".join(key.split()))
+            self._path = xxhash.xxh64_intdigest(("s" if self.ended else "w") + key) - (1 << 63)
+        return self._path
+
+
+def _weight(text: str) -> float:
+    """Length in which a character of a script without spaces counts as two letters."""
+    return (len(text.encode("utf-8", "ignore")) + len(text)) / 2
 
 
 def _is_dense(text: str) -> bool:
     """Running text: two sentences or more, each ended, long enough together."""
-    if not _END.search(text):
+    if _weight(text) < 80 or not _END.search(text[-12:]):
         return False
     parts = [p for p in _SENTENCE.findall(text) if len(p.strip()) > 1]
-    wide = len(_WIDE.findall(text))
-    return len(parts) >= 2 and len(text) + wide >= 80 and min(len(p) + len(_WIDE.findall(p)) for p in parts) >= 16
+    return len(parts) >= 2 and min(map(_weight, parts)) >= 16
+
+
+_MARKS = frozenset("#*_-+•[>`~|0123456789")
+_AROUND = "​‌‍﻿­ \t\r　 "
+
+
+def _tagged(raw: str, text: str) -> tuple[str, str]:
+    """Tag of a line outside code, and its text without marks."""
+    if text[0] not in _MARKS:
+        return "p", text
+    if text[0] == "|":
+        return "t", text
+    if text[0] == ">":
+        return ("q", text.lstrip("> ")) if len(text) > 1 else ("p", text)
+    if text[0] == "[":
+        if "](" in text:
+            return ("m" if _SEVERAL_LINKS.match(raw) else "a" if _LINK_ONLY.match(raw) else "p"), text
+        return ("r" if _REFERENCE.match(raw) else "p"), text
+    if m := _HEADING.match(raw):
+        return "h", m[1]
+    if m := _BOLD.match(raw):
+        return "b", m[2]
+    if m := _ITEM.match(raw):
+        return ("la" if _LINK_ONLY.match(m[1]) else "li"), m[1]
+    return ("ni" if _NUMBERED.match(raw) else "p"), text
 
 
 def lines_of(body: str) -> list[Line]:
     """The lines of a body that are not blank, with their tags.
 
-    Tags: h heading, b bold line, li list item, ni item numbered without a
-    mark, a line that is one link, m line of several links, q quote, r
-    reference, t table row, c code, p other.
+    Tags: h heading, b bold line, li list item, la list item that is one link,
+    ni item numbered without a mark, a line that is one link, m line of several
+    links, q quote, r reference, t table row, c code, p other.
     """
     out: list[Line] = []
     fence, blank = "", True
     for no, raw in enumerate(body.split("\n"), 1):
-        mark = _FENCE.match(raw)
-        if fence:
-            if raw.strip():
-                out.append(Line(no, "c", raw, blank))
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
-                fence = ""
-            continue
-        text = raw.strip("​‌‍﻿­ \t\r　 ")
+        text = raw.strip(_AROUND)
         if not text:
             blank = True
             continue
-        if mark:
-            fence, tag = mark[1], "c"
-        elif text.startswith("|"):
-            tag = "t"
-        elif m := _HEADING.match(raw):
-            tag, text = "h", m[1]
-        elif m := _BOLD.match(raw):
-            tag, text = "b", m[2]
-        elif _REFERENCE.match(raw) and not _LINK_ONLY.match(raw) and "](" not in raw:
-            tag = "r"
-        elif text.startswith(">") and len(text) > 1:
-            tag, text = "q", text.lstrip("> ")
-        elif _SEVERAL_LINKS.match(raw):
-            tag = "m"
-        elif _LINK_ONLY.match(raw):
-            tag = "a"
-        elif m := _ITEM.match(raw):
-            tag, text = ("la" if _LINK_ONLY.match(m[1]) else "li"), m[1]
-        elif m := _NUMBERED.match(raw):
-            tag, text = "ni", raw.strip()
-        else:
-            tag = "p"
+        mark = _FENCE.match(raw) if text[0] in "`~" else None
+        if fence or mark:
+            out.append(Line(no, "c", raw, blank))
+            if not fence:
+                fence = mark[1]
+            elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
+                fence = ""
+            blank = False
+            continue
+        tag, text = _tagged(raw, text)
         line = Line(no, tag, text, blank)
         line.dense = tag in "pq" and _is_dense(text)
         out.append(line)
@@ -173,19 +210,25 @@ def _heads_a_list(lines: list[Line], k: int) -> bool:
     return len(after) == 2 and all(x.tag in ("li", "ni", "a") and not x.ended and not x.blank_before for x in after)
 
 
+_COUNTED = frozenset(("p", "q", "h", "b", "a", "m", "la", "ni"))
+
+
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        dense, alone = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for body in b["body"]:
-            for line in lines_of(body):
-                if line.tag in ("p", "q", "h", "b", "a", "m", "la", "ni"):
-                    np.add.at(dense if line.dense else alone, trigram_buckets(line.text), 1)
+        alone, dense = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        bodies = b["body"].tolist()
+        for k in range(0, len(bodies), 1000):
+            lines = [x for body in bodies[k : k + 1000] for x in lines_of(body) if x.tag in _COUNTED]
+            grams, owner = window_buckets([x.text for x in lines])
+            running = np.array([x.dense for x in lines], bool)[owner]
+            dense += np.bincount(grams[running], minlength=BUCKETS)
+            alone += np.bincount(grams[~running], minlength=BUCKETS)
         at = np.flatnonzero(dense + alone)
         yield pd.DataFrame({"bucket": at, "dense": dense[at], "alone": alone[at]})
 
 
 def gram_shares(pages: DataFrame) -> np.ndarray:
-    """For each bucket of trigrams, the share of its occurrences that stand in dense text; all pages counted."""
+    """For each bucket of windows, the share of its occurrences that stand in dense text; all pages counted."""
     got = (
         pages.mapInPandas(_count_grams, "bucket bigint, dense bigint, alone bigint")
         .groupBy("bucket")
@@ -198,11 +241,12 @@ def gram_shares(pages: DataFrame) -> np.ndarray:
 
 
 def _score(line: Line, shares: np.ndarray) -> float:
-    """How much a line belongs to running text: the mean share of its trigrams; 0 if it has none."""
+    """How much a line belongs to running text: the share of its windows met there; 0 if it has none."""
     if line.dense:
         return 1.0
-    grams = trigram_buckets(line.text)
-    return float(np.mean(shares[grams] > 0.3)) if len(grams) else 0.0
+    grams, _ = window_buckets([line.text])
+    known[line.path] = float(np.mean(shares[grams] > 0.3)) if len(grams) else 0.0
+    return known[line.path]
 
 
 def _votes(broadcast) -> object:
@@ -210,6 +254,7 @@ def _votes(broadcast) -> object:
         shares = broadcast.value
         for b in batches:
             found: dict[tuple[str, int], list] = {}
+            known: dict[int, float] = {}
             for host, page, body in zip(b["host"], b["page"], b["body"], strict=True):
                 bit = 0 if page is None or page != page else 1 << int(page)
                 seen: dict[int, tuple[float, bool]] = {}
@@ -218,7 +263,7 @@ def _votes(broadcast) -> object:
                     if line.tag not in ("t", "c", "r") and not line.dense:
                         path = line.path
                         if path not in seen:
-                            score = _score(line, shares) if line.ended else 0.0
+                            score = _score(line, shares, known) if line.ended else 0.0
                             seen[path] = score, _heads_a_list(lines, k)
                 for path, (score, heads) in seen.items():
                     v = found.setdefault((host, path), [0, 0.0, 0, 0])
@@ -240,7 +285,7 @@ def _votes(broadcast) -> object:
     return run
 
 
-def _label(lines: list[Line], title: str | None, own: dict[int, bool], heads: frozenset[int], shares: np.ndarray) -> None:
+def _label(lines: list[Line], title: str | None, own: dict[int, bool], heads: frozenset[int], score: Callable[[Line], float]) -> None:
     """Marks the article's lines. ``own``: the winning paths, True for content; ``heads``: those that head lists."""
     name = _folded(title)
     beside = False  # inside a list beside the article
@@ -269,9 +314,9 @@ def _label(lines: list[Line], title: str | None, own: dict[int, bool], heads: fr
         elif last and verdict is None and _CUT.search(line.text):
             line.article = True
         elif line.ended:
-            line.article = verdict if verdict is not None else _score(line, shares) >= 0.5
+            line.article = verdict if verdict is not None else score(line) >= 0.5
         else:
-            line.article = verdict is None and last and _score(line, shares) >= 0.6
+            line.article = verdict is None and last and score(line) >= 0.6
         if verdict is False and not line.article and (tag in ("h", "b") or (tag == "p" and line.path in heads)):
             beside = True
 
@@ -283,12 +328,13 @@ def _extract(broadcast, emit: str) -> object:
         heads = frozenset(everywhere[2].tolist())
         for b in batches:
             ids, numbers, bodies = [], [], []
+            known: dict[int, float] = {}
             for hit, title, body, poor, rich in zip(b["hit_id"], b["title"], b["body"], b["poor"], b["rich"], strict=True):
                 own = dict(common)
                 own |= dict.fromkeys(rich if rich is not None else (), True)
                 own |= dict.fromkeys(poor if poor is not None else (), False)
                 lines = lines_of(body)
-                _label(lines, title, own, heads, shares)
+                _label(lines, title, own, heads, lambda line: _score(line, shares, known))
                 if emit == "lines":
                     out = [x.no for x in lines if not x.article]
                     ids += [hit] * len(out)
