@@ -240,12 +240,16 @@ def gram_shares(pages: DataFrame) -> np.ndarray:
     return shares
 
 
-def _score(line: Line, shares: np.ndarray) -> float:
-    """How much a line belongs to running text: the share of its windows met there; 0 if it has none."""
+def _score(line: Line, shares: np.ndarray, known: dict[int, float]) -> float:
+    """How much a line belongs to running text: the share of its windows met there; 0 if it has none.
+
+    ``known`` holds the scores of the paths met so far.
+    """
     if line.dense:
         return 1.0
-    grams, _ = window_buckets([line.text])
-    known[line.path] = float(np.mean(shares[grams] > 0.3)) if len(grams) else 0.0
+    if line.path not in known:
+        grams, _ = window_buckets([line.text])
+        known[line.path] = float(np.mean(shares[grams] > 0.3)) if len(grams) else 0.0
     return known[line.path]
 
 
