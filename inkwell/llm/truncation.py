@@ -11,11 +11,9 @@ a trigram, hence five characters reach over three words.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.urls import strip
-
 # What a cut leaves at the end of a line: marks put there, and torn markup or characters.
 _MARK = r"(?:\s*\[(?:\.{3}|…)\]|\s*\(more\)|\.{3,}|…+)$"
 _TORN = r"(?:\x{FFFD}+|<[A-Za-z/!][^<>]*|&[A-Za-z#0-9]*|!?\[[^\]\[]{0,12}(?:\]\([^)]*)?)$"
@@ -23,16 +21,24 @@ _TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{M}\x27]+
 _WIDE = r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 _SPACED = r"[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]$"
 _CLOSED = r"[。！？!?．][”’\"'）)」』】*_~\s]*$|(?<![0-9])\.[”’\"')*_\s]*$|[0-9]\.[”’\"')*_]+$"
-_SENTENCES = r"(?<=[。！？；])|(?<=[.!?;])\s+"
 
-#: SQL over the view ``cut_lines`` (``hit_id``, ``last``, ``line``): one row per distinct sentence.
-SENTENCES = rf"""
+#: White space to cut from both ends of a line.
+_BLANKS = " \t\r\f\x0b\xa0\u2002\u2003\u2009\u3000"
+
+#: SQL over the view ``cut_bodies`` (``lines``): one row per distinct sentence, with its number.
+SENTENCES = f"""
 SELECT sentence, final, count(*) AS n FROM (
-  SELECT s.sentence, s.at = size(parts) - 1 AS final
-  FROM (SELECT split(line, r'{_SENTENCES}') AS parts FROM cut_lines)
-  LATERAL VIEW posexplode(parts) s AS at, sentence
-) WHERE sentence <> '' GROUP BY sentence, final
+  SELECT CASE WHEN final THEN {{ending}} ELSE btrim(raw, '{_BLANKS}') END AS sentence, final FROM (
+    SELECT s.raw, s.at = size(parts) - 1 AS final
+    FROM (SELECT split(line, '\u0001') AS parts FROM (SELECT explode(lines) AS line FROM cut_bodies))
+    LATERAL VIEW posexplode(parts) s AS at, raw))
+WHERE sentence <> '' GROUP BY sentence, final
 """
+#: A line's last sentence without a mark of omission; most end in none and are not searched.
+_ENDING = (
+    "CASE WHEN right(btrim(raw, '{blanks}'), 1) IN ('.', '…', ']', ')')"
+    " THEN btrim(regexp_replace(btrim(raw, '{blanks}'), r'{mark}', ''), '{blanks}') ELSE btrim(raw, '{blanks}') END"
+)
 
 #: Tokens of ``text`` after two marks of the start, and for each place the grams that end there.
 _TOKENS = "concat(array('^', '^', '^', '^'), regexp_extract_all({text}, r'{token}', 0))"
@@ -86,27 +92,34 @@ def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFram
     it stands there and gives one row each.
     """
     spark = docs.sparkSession
-    flat = F.regexp_replace(F.regexp_replace(F.lower("raw"), r"\]\([^)]*\)", "]"), "[0-9]+", "9")
-    raw = docs.where(strip(F.col("body")) != "").select("hit_id", strip(F.col("body")).alias("body"))
-    lines = raw.select(F.explode(F.split("body", "\n")).alias("raw"))
-    bare = F.regexp_replace(strip(flat), _MARK, "")
-    lines = lines.select(strip(bare).alias("line")).where("line <> ''")
-    last = raw.select("hit_id", F.element_at(F.split("body", "\n"), -1).alias("raw"))
+
+    def flat(text: Column) -> Column:
+        """Small letters, link targets dropped, digits alike, a break after each sentence."""
+        bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"\]\([^)\n]*\)", "]"), "[0-9]+", "9")
+        return F.regexp_replace(bare, r"([。！？；]|[.!?;](?=[ \t]))", "$1\u0001")
+
+    raw = docs.where(F.col("body").isNotNull()).select("hit_id", F.btrim("body", F.lit(_BLANKS + "\n")).alias("body"))
+    raw.select(F.split(flat(F.col("body")), "\n").alias("lines")).createOrReplaceTempView("cut_bodies")
+    last = raw.select("hit_id", F.substring_index("body", "\n", -1).alias("raw")).where("raw <> ''")
+    # These patterns look at a line's end; a torn piece of markup is short.
+    end = F.right("raw", F.lit(200))
     ends = last.select(
         "hit_id",
-        F.col("raw").rlike(_TORN).alias("torn"),
-        F.col("raw").rlike(_MARK).alias("marked"),
-        (F.regexp_replace("raw", _MARK, "").rlike(_CLOSED)).alias("closed"),
-        strip(F.regexp_replace(strip(F.regexp_replace(flat, _TORN, "")), _MARK, "")).alias("line"),
+        end.rlike(_TORN).alias("torn"),
+        end.rlike(_MARK).alias("marked"),
+        F.regexp_replace(end, _MARK, "").rlike(_CLOSED).alias("closed"),
+        F.split(flat(F.col("raw")), "\u0001").alias("parts"),
     )
-    lines.createOrReplaceTempView("cut_lines")
-    spark.sql(SENTENCES).createOrReplaceTempView("cut_sentences")
+    ending = _ENDING.format(blanks=_BLANKS, mark=_MARK)
+    spark.sql(SENTENCES.format(ending=ending)).createOrReplaceTempView("cut_sentences")
     # Only the last sentence of a last line tells about its end.
-    tail = F.element_at(F.filter(F.split("line", _SENTENCES), lambda s: s != ""), -1)
     sure = ends.where("torn")
-    after = F.size(F.filter(F.split("line", _SENTENCES), lambda s: s != "")) > 1
-    open_ = ends.where("not torn and not closed").select("hit_id", "marked", after.alias("after"), F.col("line").rlike(_SPACED).alias("spaced"), tail.alias("line"))
-    open_.createOrReplaceTempView("cut_ends")
+    open_ = ends.where("not torn and not closed").select(
+        "hit_id", "marked", F.filter("parts", lambda s: F.btrim(s, F.lit(_BLANKS)) != "").alias("parts")
+    )
+    open_ = open_.select("hit_id", "marked", (F.size("parts") > 1).alias("after"), F.try_element_at("parts", F.lit(-1)).alias("raw"))
+    open_ = open_.where("raw is not null").select("hit_id", "marked", "after", F.expr(ending).alias("line"))
+    open_.withColumn("spaced", F.col("line").rlike(_SPACED)).createOrReplaceTempView("cut_ends")
     counts = spark.sql(_filled(COUNTS, "sentence"))
     asked = spark.sql(_filled(ENDS, "line")).where("gram is not null")
     told = asked.join(counts, "gram", "left").groupBy("hit_id").agg(
