@@ -9,6 +9,9 @@ from inkwell.functions.urls import site_of
 from inkwell.llm.boilerplate import main_body
 from inkwell.llm.copies import collapse, find_copies
 from inkwell.llm.lines import prefix_span, repeated_lines, without_repeated
+from inkwell.llm.mixing import mix, reached_shares
+from inkwell.llm.packing import fill_rates, pack
+from inkwell.llm.pii import find_pii, redact_pii
 from inkwell.llm.survivors import survivors
 from inkwell.llm.truncation import truncated, truncation_rates
 from inkwell.plans.registry import Query
@@ -97,3 +100,41 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``hit_id, body`` of every hit, the article's lines only."""
     docs = table(spark, sf_dir, "docs")
     return main_body(docs, docs.count(), emit="bodies")
+
+
+@_query
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of documents in containers of each budget's capacity."""
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "budgets"))
+
+
+@_query
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    budgets = table(spark, sf_dir, "budgets")
+    return fill_rates(pack(table(spark, sf_dir, "documents"), budgets), budgets)
+
+
+@_query
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each text of documents stands in the mix."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@_query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all tokens each source reaches in the mix."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return reached_shares(mix(table(spark, sf_dir, "documents"), targets), targets)
+
+
+@_query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, pii_type, start_pos, end_pos`` of each mention in the texts."""
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+@_query
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    return redact_pii(table(spark, sf_dir, "documents"))
