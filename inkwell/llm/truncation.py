@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 _MARK = r"(?:\s*\[(?:\.{3}|…)\]|\s*\(more\)|\.{3,}|…+)$"
 _TORN = r"(?:\x{FFFD}+|<[A-Za-z/!][^<>]*|&[A-Za-z#0-9]*|!?\[[^\]\[]{0,12}(?:\]\([^)]*)?)$"
 _TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{M}\x27]+|9(?:\.9)?|[^\s\p{L}\p{M}]"
-_WIDE = r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 _SPACED = r"[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]$"
 _CLOSED = r"[。！？!?．][”’\"'）)」』】*_~\s]*$|(?<![0-9])\.[”’\"')*_\s]*$|[0-9]\.[”’\"')*_]+$"
 
@@ -26,13 +25,12 @@ _CLOSED = r"[。！？!?．][”’\"'）)」』】*_~\s]*$|(?<![0-9])\.[”’\
 _BLANKS = " \t\r\f\x0b\xa0\u2002\u2003\u2009\u3000"
 
 #: SQL over the view ``cut_bodies`` (``lines``): one row per distinct sentence, with its number.
-SENTENCES = f"""
+SENTENCES = """
 SELECT sentence, final, count(*) AS n FROM (
-  SELECT CASE WHEN final THEN {{ending}} ELSE btrim(raw, '{_BLANKS}') END AS sentence, final FROM (
-    SELECT s.raw, s.at = size(parts) - 1 AS final
-    FROM (SELECT split(line, '\u0001') AS parts FROM (SELECT explode(lines) AS line FROM cut_bodies))
-    LATERAL VIEW posexplode(parts) s AS at, raw))
-WHERE sentence <> '' GROUP BY sentence, final
+  SELECT CASE WHEN s.at = size(parts) - 1 THEN {ending} ELSE raw END AS sentence, s.at = size(parts) - 1 AS final
+  FROM (SELECT split(line, '\u0001') AS parts FROM (SELECT explode(lines) AS line FROM cut_bodies))
+  LATERAL VIEW posexplode(parts) s AS at, raw)
+GROUP BY sentence, final
 """
 #: A line's last sentence without a mark of omission; most end in none and are not searched.
 _ENDING = (
@@ -40,13 +38,14 @@ _ENDING = (
     " THEN btrim(regexp_replace(btrim(raw, '{blanks}'), r'{mark}', ''), '{blanks}') ELSE btrim(raw, '{blanks}') END"
 )
 
-#: Tokens of ``text`` after two marks of the start, and for each place the grams that end there.
+#: Tokens of ``text`` after marks of the start, and for each place the grams that end there;
+#: characters from U+2E80 on are words of two.
 _TOKENS = "concat(array('^', '^', '^', '^'), regexp_extract_all({text}, r'{token}', 0))"
 _GRAMS = """
 transform(sequence(4, size(tokens) - 1), i -> struct(
   i = size(tokens) - 1 AS at_end,
-  xxhash64(3, CASE WHEN tokens[i] RLIKE r'{wide}' THEN slice(tokens, i - 3, 5) ELSE slice(tokens, i - 1, 3) END) AS long,
-  xxhash64(2, CASE WHEN tokens[i] RLIKE r'{wide}' THEN slice(tokens, i - 1, 3) ELSE slice(tokens, i, 2) END) AS short,
+  xxhash64(3, CASE WHEN tokens[i] >= '⺀' THEN slice(tokens, i - 3, 5) ELSE slice(tokens, i - 1, 3) END) AS long,
+  xxhash64(2, CASE WHEN tokens[i] >= '⺀' THEN slice(tokens, i - 1, 3) ELSE slice(tokens, i, 2) END) AS short,
   xxhash64(1, tokens[i]) AS word))
 """
 
@@ -72,7 +71,7 @@ FROM (SELECT hit_id, marked, spaced, after, {grams} AS g, size(tokens) - 5 AS n
 
 def _filled(sql: str, text: str) -> str:
     tokens = _TOKENS.format(text=text, token=_TOKEN)
-    return sql.format(grams=_GRAMS.format(wide=_WIDE), tokens=tokens)
+    return sql.format(grams=_GRAMS, tokens=tokens)
 
 
 def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFrame:
@@ -95,8 +94,9 @@ def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFram
 
     def flat(text: Column) -> Column:
         """Small letters, link targets dropped, digits alike, a break after each sentence."""
-        bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"\]\([^)\n]*\)", "]"), "[0-9]+", "9")
-        return F.regexp_replace(bare, r"([。！？；]|[.!?;](?=[ \t]))", "$1\u0001")
+        plain = F.when(text.contains("]("), F.regexp_replace(text, r"\]\([^)\n]*\)", "]")).otherwise(text)
+        bare = F.regexp_replace(F.lower(plain), "[0-9]+", "9")
+        return F.regexp_replace(bare, r"([。！？；]|[.!?;](?=[ \t]))[ \t]*", "$1\u0001")
 
     raw = docs.where(F.col("body").isNotNull()).select("hit_id", F.btrim("body", F.lit(_BLANKS + "\n")).alias("body"))
     raw.select(F.split(flat(F.col("body")), "\n").alias("lines")).createOrReplaceTempView("cut_bodies")
