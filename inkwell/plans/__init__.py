@@ -1,6 +1,6 @@
 """Core queries; importing this package registers all of them."""
 
-from inkwell.plans import instants
+from inkwell.plans import instants, merging, scalars
 from inkwell.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "instants"]
+__all__ = ["QUERIES", "SQL", "instants", "merging", "scalars"]
