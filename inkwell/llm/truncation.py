@@ -27,9 +27,8 @@ _BLANKS = " \t\r\f\x0b\xa0\u2002\u2003\u2009\u3000"
 #: SQL over the view ``cut_bodies`` (``lines``): one row per distinct sentence, with its number.
 SENTENCES = """
 SELECT sentence, final, count(*) AS n FROM (
-  SELECT CASE WHEN s.at = size(parts) - 1 THEN {ending} ELSE raw END AS sentence, s.at = size(parts) - 1 AS final
-  FROM (SELECT split(line, '\u0001') AS parts FROM (SELECT explode(lines) AS line FROM cut_bodies))
-  LATERAL VIEW posexplode(parts) s AS at, raw)
+  SELECT CASE WHEN final THEN {ending} ELSE raw END AS sentence, final
+  FROM (SELECT rtrim('\u0002', raw) AS raw, endswith(raw, '\u0002') AS final FROM (SELECT explode(sentences) AS raw FROM cut_bodies)))
 GROUP BY sentence, final
 """
 #: A line's last sentence without a mark of omission; most end in none and are not searched.
@@ -46,14 +45,14 @@ transform(sequence(4, size(tokens) - 1), i -> struct(
   i = size(tokens) - 1 AS at_end,
   xxhash64(3, CASE WHEN tokens[i] >= '⺀' THEN slice(tokens, i - 3, 5) ELSE slice(tokens, i - 1, 3) END) AS long,
   xxhash64(2, CASE WHEN tokens[i] >= '⺀' THEN slice(tokens, i - 1, 3) ELSE slice(tokens, i, 2) END) AS short,
-  xxhash64(1, tokens[i]) AS word))
+  CASE WHEN tokens[i] >= '⺀' THEN NULL ELSE xxhash64(1, tokens[i]) END AS word))
 """
 
 #: How often each gram stands inside lines and at their ends, over all rows.
 COUNTS = """
 SELECT gram, sum(CASE WHEN at_end AND final THEN 0 ELSE n END) AS inside, sum(CASE WHEN at_end AND final THEN n ELSE 0 END) AS ends
 FROM (
-  SELECT n, final, g.at_end, explode(array(g.long, g.short, g.word)) AS gram
+  SELECT n, final, g.at_end, explode(CASE WHEN g.word IS NULL THEN array(g.long, g.short) ELSE array(g.long, g.short, g.word) END) AS gram
   FROM (SELECT n, final, explode({grams}) AS g FROM (
     SELECT n, final, {tokens} AS tokens FROM cut_sentences) WHERE size(tokens) > 4)
 )
@@ -93,13 +92,15 @@ def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFram
     spark = docs.sparkSession
 
     def flat(text: Column) -> Column:
-        """Small letters, link targets dropped, digits alike, a break after each sentence."""
+        """Small letters, link targets dropped, digits alike, a break between a line's sentences."""
         plain = F.when(text.contains("]("), F.regexp_replace(text, r"\]\([^)\n]*\)", "]")).otherwise(text)
         bare = F.regexp_replace(F.lower(plain), "[0-9]+", "9")
-        return F.regexp_replace(bare, r"([。！？；]|[.!?;](?=[ \t]))[ \t]*", "$1\u0001")
+        return F.regexp_replace(bare, r"([。！？；]|[.!?;](?=[ \t]))[ \t]*+(?!\n|\z)", "$1\u0001")
 
     raw = docs.where(F.col("body").isNotNull()).select("hit_id", F.btrim("body", F.lit(_BLANKS + "\n")).alias("body"))
-    raw.select(F.split(flat(F.col("body")), "\n").alias("lines")).createOrReplaceTempView("cut_bodies")
+    # The last sentence of a line ends with a mark of its own.
+    marked = F.concat(F.replace(flat(F.col("body")), F.lit("\n"), F.lit("\u0002\u0001")), F.lit("\u0002"))
+    raw.select(F.split(marked, "\u0001").alias("sentences")).createOrReplaceTempView("cut_bodies")
     last = raw.select("hit_id", F.substring_index("body", "\n", -1).alias("raw")).where("raw <> ''")
     # These patterns look at a line's end; a torn piece of markup is short.
     end = F.right("raw", F.lit(200))
