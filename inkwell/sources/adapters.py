@@ -96,7 +96,7 @@ def source_warnings(responses: DataFrame) -> DataFrame:
 
 def keywords(queries: Column, objective: Column) -> Column:
     """The first five queries that are not blank, else the objective's start."""
-    kept = F.slice(F.filter(F.transform(F.coalesce(queries, F.array().cast("array<string>")), F.trim), lambda x: x != ""), 1, KEYWORDS)
+    kept = F.slice(F.filter(F.transform(F.coalesce(queries, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, KEYWORDS)
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.substring(F.trim(F.coalesce(objective, F.lit(""))), 1, 120)))
 
 
