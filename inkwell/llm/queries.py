@@ -15,6 +15,7 @@ from inkwell.llm.pii import find_pii, redact_pii
 from inkwell.llm.survivors import survivors
 from inkwell.llm.truncation import truncated, truncation_rates
 from inkwell.plans.registry import Query
+from inkwell.plans.sqltext import pages_cte, site_sql, strip_sql
 from inkwell.session import materialize, table
 
 QUERIES: dict[str, Query] = {}
@@ -26,6 +27,39 @@ def _query(f: Query) -> Query:
     return f
 
 
+_PAGES = pages_cte("SELECT url FROM docs UNION SELECT url FROM merged UNION SELECT u FROM (SELECT unnest(also_urls) AS u FROM merged)")
+
+SQL["p1_found"] = f"""WITH {_PAGES},
+d AS (SELECT 'docs' AS rec, hit_id AS id, query_id AS q, page AS k, '' AS t, '' AS s FROM docs JOIN pages USING (url) WHERE {strip_sql("url")} <> ''),
+a AS (SELECT DISTINCT m.merged_id, p.page FROM (SELECT merged_id, unnest(also_urls) AS u FROM merged) m JOIN pages p ON m.u = p.url WHERE {strip_sql("m.u")} <> ''),
+s AS (SELECT merged_id, string_agg(page, chr(1) ORDER BY page) AS s FROM a GROUP BY merged_id),
+m AS (SELECT 'merged' AS rec, m.merged_id AS id, query_id AS q, coalesce(page, '') AS k,
+  regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS t, coalesce(s.s, '') AS s
+  FROM merged m LEFT JOIN pages USING (url) LEFT JOIN s ON m.merged_id = s.merged_id),
+g AS (SELECT *, min(id) OVER (PARTITION BY rec, q, k, t, s) AS keep FROM (SELECT * FROM d UNION ALL SELECT * FROM m))
+SELECT rec, keep AS keep_id, id AS copy_id FROM g WHERE keep < id"""
+
+_DAY = "substr(publish, 1, 10)"
+SQL["p4_found"] = f"""WITH {pages_cte("SELECT url FROM merged")},
+m AS (SELECT merged_id, query_id, page, sources, length(coalesce(regexp_replace(body, '[\\s\\p{{Z}}\\x{{0085}}\\x{{000B}}\\x{{001C}}-\\x{{001F}}]', '', 'g'), '')) AS size,
+  CASE WHEN regexp_full_match({_DAY}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND {_DAY} >= '0001'
+    AND try_cast({_DAY} AS DATE) <= CAST(CAST(merged_at AS TIMESTAMP) AS DATE) THEN {_DAY} END AS day
+  FROM merged JOIN pages USING (url) WHERE {strip_sql("url")} <> ''),
+e AS (SELECT query_id, page, k AS source, min(v) AS r FROM (SELECT query_id, page, unnest(map_keys(sources)) AS k, unnest(map_values(sources)) AS v FROM m) WHERE v >= 1 GROUP BY ALL),
+s AS (SELECT query_id, page, string_agg(source || ':' || r, ',' ORDER BY source) AS k FROM e GROUP BY ALL),
+g AS (SELECT query_id, page, min(merged_id) AS group_id, arg_max(merged_id, (size, -merged_id)) AS body_id,
+  coalesce(arg_max(merged_id, (day, -merged_id)) FILTER (WHERE day IS NOT NULL), 0) AS publish_id FROM m GROUP BY ALL HAVING count(DISTINCT merged_id) > 1)
+SELECT g.group_id, g.body_id, g.publish_id, coalesce(s.k, '') AS sources_key FROM g LEFT JOIN s ON g.query_id IS NOT DISTINCT FROM s.query_id AND g.page = s.page"""
+
+SQL["p6_found"] = f"""WITH {pages_cte("SELECT url FROM docs")},
+d AS (SELECT hit_id, {site_sql("site", "d.url")} AS s, CASE WHEN {strip_sql("d.url")} <> '' THEN page END AS page, body FROM docs d LEFT JOIN pages p ON d.url = p.url),
+n AS (SELECT s, count(*) AS n FROM d WHERE s IN (SELECT site FROM sites) GROUP BY s HAVING count(*) >= 20),
+l AS (SELECT hit_id, s, page, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line FROM (SELECT d.*, string_split(body, chr(10)) AS parts FROM d JOIN n USING (s) WHERE body IS NOT NULL)),
+k AS (SELECT hit_id, s, page, line_no, lower(regexp_replace(line, '[\\s\\p{{Z}}\\x{{0085}}\\x{{000B}}\\x{{001C}}-\\x{{001F}}0-9]', '', 'g')) AS key FROM l),
+f AS (SELECT s, key FROM k JOIN n USING (s) WHERE regexp_matches(key, '\\p{{L}}') GROUP BY s, key, n HAVING count(DISTINCT hit_id) * 5 >= n AND count(DISTINCT page) >= 5)
+SELECT hit_id, CAST(line_no AS BIGINT) AS line_no FROM k JOIN f USING (s, key)"""
+
+
 @_query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rec, keep_id, copy_id`` of every hit and merged record written again."""
