@@ -45,6 +45,7 @@ _CUT = re.compile(r"(?:\[(?:\.{3}|…)\]|\.{3}|…|�)$")
 _CLOSING = re.compile(
     r"\W*(?:全文完|本文完|正文完|完|完结|end|the end|fin|end of (?:report|article|story|text|post|document))\W*$", re.I
 )
+_TRAIL = re.compile(r"[|·>»/]|^\d")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -292,7 +293,7 @@ def _votes(broadcast) -> object:
 def _label(lines: list[Line], title: str | None, own: dict[int, bool], heads: frozenset[int], score: Callable[[Line], float]) -> None:
     """Marks the article's lines. ``own``: the winning paths, True for content; ``heads``: those that head lists."""
     name = _folded(title)
-    beside = False  # inside a list beside the article
+    beside = begun = False  # inside a list beside the article; behind its first line
     for k, line in enumerate(lines):
         tag, last = line.tag, k == len(lines) - 1
         verdict = own.get(line.path) if tag not in ("t", "c", "r") and not line.dense else None
@@ -311,6 +312,8 @@ def _label(lines: list[Line], title: str | None, own: dict[int, bool], heads: fr
             line.article = True
         elif tag in ("h", "b"):
             line.article = verdict is None
+        elif not name and not begun and verdict is None and tag == "p" and not last and lines[k + 1].dense and not _TRAIL.search(line.text):
+            line.article = True  # a page without a title has it above its text
         elif tag in ("a", "m", "la", "ni"):
             line.article = False
         elif tag == "li":
@@ -323,6 +326,7 @@ def _label(lines: list[Line], title: str | None, own: dict[int, bool], heads: fr
             line.article = verdict is None and last and score(line) >= 0.6
         if verdict is False and not line.article and (tag in ("h", "b") or (tag == "p" and line.path in heads)):
             beside = True
+        begun |= line.article
 
 
 def _extract(broadcast, emit: str) -> object:
