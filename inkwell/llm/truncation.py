@@ -33,7 +33,7 @@ GROUP BY sentence, final
 """
 #: A line's last sentence without a mark of omission; most end in none and are not searched.
 _ENDING = (
-    "CASE WHEN right(btrim(raw, '{blanks}'), 1) IN ('.', '…', ']', ')')"
+    "CASE WHEN right(btrim(raw, '{blanks}'), 1) IN ('…', ']', ')') OR endswith(btrim(raw, '{blanks}'), '...')"
     " THEN btrim(regexp_replace(btrim(raw, '{blanks}'), r'{mark}', ''), '{blanks}') ELSE btrim(raw, '{blanks}') END"
 )
 
@@ -94,12 +94,18 @@ def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFram
     def flat(text: Column) -> Column:
         """Small letters, link targets dropped, digits alike, a break between a line's sentences."""
         plain = F.when(text.contains("]("), F.regexp_replace(text, r"\]\([^)\n]*\)", "]")).otherwise(text)
-        bare = F.regexp_replace(F.lower(plain), "[0-9]+", "9")
-        return F.regexp_replace(bare, r"([。！？；]|[.!?;](?=[ \t]))[ \t]*+(?!\n|\z)", "$1\u0001")
+        out = F.regexp_replace(F.lower(plain), "[0-9]+", "9")
+        # Plain replacements cost a tenth of a pattern that looks at every character.
+        for end in "。！？；":
+            out = F.replace(out, F.lit(end), F.lit(end + "\u0001"))
+        for end in ".!?;":
+            out = F.replace(out, F.lit(end + " "), F.lit(end + "\u0001"))
+        return out
 
     raw = docs.where(F.col("body").isNotNull()).select("hit_id", F.btrim("body", F.lit(_BLANKS + "\n")).alias("body"))
     # The last sentence of a line ends with a mark of its own.
     marked = F.concat(F.replace(flat(F.col("body")), F.lit("\n"), F.lit("\u0002\u0001")), F.lit("\u0002"))
+    marked = F.replace(marked, F.lit("\u0001\u0002"), F.lit("\u0002"))
     raw.select(F.split(marked, "\u0001").alias("sentences")).createOrReplaceTempView("cut_bodies")
     last = raw.select("hit_id", F.substring_index("body", "\n", -1).alias("raw")).where("raw <> ''")
     # These patterns look at a line's end; a torn piece of markup is short.
