@@ -18,15 +18,17 @@ def lookup_join(
     total: int,
     spread: str,
     least: int = 20_000,
+    twice: bool = False,
 ) -> DataFrame:
     """``rows`` left-joined to ``lookup``, which has one row per key.
 
     ``count`` names the column of ``lookup`` with the number of rows that hold
     the key, ``total`` the number of all rows. Keys held by more than
     ``total / HOT_KEYS`` rows are at most ``HOT_KEYS``: these entries are
-    broadcast and their rows never move. The others are joined by key, each
-    with a bounded number of rows. Rows of hot keys, which need nothing more
-    from that join, are spread by the column ``spread``.
+    broadcast. The others are joined by key, each with a bounded number of
+    rows. Rows of hot keys, which need nothing more from that join, pass it
+    spread evenly by the column ``spread``; with ``twice`` they do not move at
+    all, and ``rows`` is computed once for them and once for the others.
 
     Null keys match nothing. An empty side gives its columns as null.
     """
@@ -37,6 +39,13 @@ def lookup_join(
     cold = lookup.where(F.col(count) <= at_most).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(0).alias("_salt"), packed.alias("_cold")
     )
+    if twice:
+        near = rows.join(F.broadcast(hot), keys)
+        far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+        far = far.join(cold.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "_cold"), keys, "left")
+        parts = [(near, "_hot"), (far, "_cold")]
+        near, far = (df.select(*rows.columns, *[F.col(c)[x].alias(x) for x in payload]) for df, c in parts)
+        return near.unionByName(far)
     step = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",
         F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(F.col(spread)), F.lit(1 << 20))).otherwise(F.lit(0)).cast("int"),

@@ -55,8 +55,8 @@ def test_small_joins(spark):
 def test_lookup_join_hot_and_cold(spark):
     rows = spark.createDataFrame([(k, "hot" if k < 90 else f"k{k}") for k in range(100)] + [(100, None)], "id int, key string")
     lookup = spark.createDataFrame([("hot", 90, 1), ("k95", 1, 2), ("gone", 1, 3)], "key string, n int, v int")
-    for least in (1, 1000):
-        got = lookup_join(rows, lookup, ["key"], "n", 100, "id", least=least)
+    for least, twice in ((1, False), (1000, False), (1, True), (1000, True)):
+        got = lookup_join(rows, lookup, ["key"], "n", 100, "id", least=least, twice=twice)
         assert got.columns == ["id", "key", "v"]
         assert sorted((r.v or 0) for r in got.collect()) == [0] * 10 + [1] * 90 + [2]
 
