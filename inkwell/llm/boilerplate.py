@@ -421,7 +421,7 @@ def main_body(
         everywhere.loc[everywhere["content"].astype(bool), "path"].to_numpy(np.int64),
         everywhere.loc[everywhere["heads"].astype(bool), "path"].to_numpy(np.int64),
     )
-    rows = lookup_join(pages.drop("page"), wins, ["host"], "host_rows", total, "hit_id", least=1000)
+    rows = lookup_join(pages.drop("page"), wins, ["host"], "host_rows", total, "hit_id", least=1000, twice=True)
     schema = "hit_id bigint, line_no bigint" if emit == "lines" else "hit_id bigint, body string"
     chosen = rows.select("hit_id", "title", "body", "poor", "rich")
     return chosen.mapInPandas(_extract(spark.sparkContext.broadcast((shares, common)), emit), schema)
