@@ -18,17 +18,19 @@ from pyspark.sql import functions as F
 _MARK = r"(?:\s*\[(?:\.{3}|…)\]|\s*\(more\)|\.{3,}|…+)$"
 _TORN = r"(?:\x{FFFD}+|<[A-Za-z/!][^<>]*|&[A-Za-z#0-9]*|!?\[[^\]\[]{0,12}(?:\]\([^)]*)?)$"
 _TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{M}\x27]+|9(?:\.9)?|[^\s\p{L}\p{M}]"
+#: Where a text falls into sentences and lines.
+_BREAKS = r"(?<=[。！？；\n])|(?<=[.!?;])[ \t]+"
 _SPACED = r"[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]$"
 _CLOSED = r"[。！？!?．][”’\"'）)」』】*_~\s]*$|(?<![0-9])\.[”’\"')*_\s]*$|[0-9]\.[”’\"')*_]+$"
 
 #: White space to cut from both ends of a line.
-_BLANKS = " \t\r\f\x0b\xa0\u2002\u2003\u2009\u3000"
+_BLANKS = " \n\t\r\f\x0b\xa0\u2002\u2003\u2009\u3000"
 
-#: SQL over the view ``cut_bodies`` (``lines``): one row per distinct sentence, with its number.
+#: SQL over the view ``cut_bodies`` (``sentences``): one row per distinct sentence, with its number.
 SENTENCES = """
 SELECT sentence, final, count(*) AS n FROM (
   SELECT CASE WHEN final THEN {ending} ELSE raw END AS sentence, final
-  FROM (SELECT rtrim('\u0002', raw) AS raw, endswith(raw, '\u0002') AS final FROM (SELECT explode(sentences) AS raw FROM cut_bodies)))
+  FROM (SELECT raw, endswith(raw, '\\n') AS final FROM (SELECT explode(sentences) AS raw FROM cut_bodies)))
 GROUP BY sentence, final
 """
 #: A line's last sentence without a mark of omission; most end in none and are not searched.
@@ -91,22 +93,14 @@ def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFram
     """
     spark = docs.sparkSession
 
-    def flat(text: Column) -> Column:
-        """Small letters, link targets dropped, digits alike, a break between a line's sentences."""
+    def pieces(text: Column) -> Column:
+        """Sentences and line ends in small letters, link targets dropped, digits alike; one pass splits them."""
         plain = F.when(text.contains("]("), F.regexp_replace(text, r"\]\([^)\n]*\)", "]")).otherwise(text)
-        out = F.regexp_replace(F.lower(plain), "[0-9]+", "9")
-        # Plain replacements cost a tenth of a pattern that looks at every character.
-        for end in "。！？；":
-            out = F.replace(out, F.lit(end), F.lit(end + "\u0001"))
-        for end in ".!?;":
-            out = F.replace(out, F.lit(end + " "), F.lit(end + "\u0001"))
-        return out
-
-    raw = docs.where(F.col("body").isNotNull()).select("hit_id", F.btrim("body", F.lit(_BLANKS + "\n")).alias("body"))
-    # The last sentence of a line ends with a mark of its own.
-    marked = F.concat(F.replace(flat(F.col("body")), F.lit("\n"), F.lit("\u0002\u0001")), F.lit("\u0002"))
-    marked = F.replace(marked, F.lit("\u0001\u0002"), F.lit("\u0002"))
-    raw.select(F.split(marked, "\u0001").alias("sentences")).createOrReplaceTempView("cut_bodies")
+        return F.split(F.regexp_replace(F.lower(plain), "[0-9]+", "9"), _BREAKS)
+
+    raw = docs.where(F.col("body").isNotNull()).select("hit_id", F.btrim("body", F.lit(_BLANKS)).alias("body"))
+    # The last sentence of a line keeps the line end.
+    raw.select(pieces(F.concat("body", F.lit("\n"))).alias("sentences")).createOrReplaceTempView("cut_bodies")
     last = raw.select("hit_id", F.substring_index("body", "\n", -1).alias("raw")).where("raw <> ''")
     # These patterns look at a line's end; a torn piece of markup is short.
     end = F.right("raw", F.lit(200))
@@ -115,7 +109,7 @@ def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFram
         end.rlike(_TORN).alias("torn"),
         end.rlike(_MARK).alias("marked"),
         F.regexp_replace(end, _MARK, "").rlike(_CLOSED).alias("closed"),
-        F.split(flat(F.col("raw")), "\u0001").alias("parts"),
+        pieces(F.col("raw")).alias("parts"),
     )
     ending = _ENDING.format(blanks=_BLANKS, mark=_MARK)
     spark.sql(SENTENCES.format(ending=ending)).createOrReplaceTempView("cut_sentences")
