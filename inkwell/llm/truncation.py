@@ -1,7 +1,7 @@
 """Problem 3: texts that stop before their end, by what the corpus says about their last words.
 
 Word trigrams are counted inside texts and at the ends of lines, in SQL over
-all rows. A body is cut if the last trigram of its last line is frequent
+all different bodies: a hit delivered again says nothing new. A body is cut if the last trigram of its last line is frequent
 inside and next to never final; a last word that is no word is taken as the
 torn rest of one, and the trigram before it decides.
 
@@ -50,7 +50,7 @@ transform(sequence(4, size(tokens) - 1), i -> struct(
   CASE WHEN tokens[i] >= '⺀' THEN NULL ELSE xxhash64(1, tokens[i]) END AS word))
 """
 
-#: How often each gram stands inside lines and at their ends, over all rows.
+#: How often each gram stands inside lines and at their ends, over all different bodies.
 COUNTS = """
 SELECT gram, sum(CASE WHEN at_end AND final THEN 0 ELSE n END) AS inside, sum(CASE WHEN at_end AND final THEN n ELSE 0 END) AS ends
 FROM (
@@ -87,9 +87,10 @@ def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFram
     lines mostly end that way. A torn tag, entity, link or character at the end is a cut anyway.
 
     Null, empty and blank bodies are not cut. All lines of all bodies are
-    counted, equal sentences once with their number. Extra columns are
-    ignored; an empty table gives no rows; a repeated row counts as often as
-    it stands there and gives one row each.
+    counted, equal sentences once with their number. Bodies that differ in
+    white space and letter case only are copies and count once, so that none
+    testifies for its own cut. Extra columns are ignored; an empty table gives
+    no rows; a repeated row gives one row each.
     """
     spark = docs.sparkSession
 
@@ -99,8 +100,10 @@ def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFram
         return F.split(F.regexp_replace(F.lower(plain), "[0-9]+", "9"), _BREAKS)
 
     raw = docs.where(F.col("body").isNotNull()).select("hit_id", F.btrim("body", F.lit(_BLANKS)).alias("body"))
+    copies = F.xxhash64(F.lower(F.translate("body", _BLANKS, "")))
+    bodies = raw.groupBy(copies.alias("copies")).agg(F.min("body").alias("body"))
     # The last sentence of a line keeps the line end.
-    raw.select(pieces(F.concat("body", F.lit("\n"))).alias("sentences")).createOrReplaceTempView("cut_bodies")
+    bodies.select(pieces(F.concat("body", F.lit("\n"))).alias("sentences")).createOrReplaceTempView("cut_bodies")
     last = raw.select("hit_id", F.substring_index("body", "\n", -1).alias("raw")).where("raw <> ''")
     # These patterns look at a line's end; a torn piece of markup is short.
     end = F.right("raw", F.lit(200))

@@ -125,6 +125,14 @@ def test_truncation(spark):
     assert truncated(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies_", [1, 2, 30])
+def test_copies_do_not_testify_for_their_own_cut(spark, copies_):
+    rows = [doc(k, f"Report {chr(97 + k)} says the river was high, and many readers waited for it.\nShare this page") for k in range(12)]
+    cut = [doc(100 + k, ("The river was high, and many", "THE RIVER  was high, and many")[k % 2]) for k in range(copies_)]
+    got = truncated(spark.createDataFrame(rows + cut, DOCS))
+    assert sorted(r.hit_id for r in got.collect()) == [100 + k for k in range(copies_)]
+
+
 # Problem 4
 
 
