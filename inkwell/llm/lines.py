@@ -2,14 +2,18 @@
 
 Prefix growth (PrefixSpan) over the sequences of line identifiers of each
 site: a sequence is frequent if at least a share of the site's rows and some
-number of different pages hold it. Each level extends the frequent sequences
-by one line that follows; occurrences of frequent sequences, single lines
+number of different pages hold it. Each frequent sequence is extended by the
+lines that follow it, until none is frequent; occurrences of frequent sequences, single lines
 included, are removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.urls import SPACE, canonical_url, site_of, strip
@@ -62,13 +66,40 @@ def _supported(level: DataFrame, keys: list[str], exact: DataFrame, sizes: DataF
     return sure.unionByName(few.join(counted.select(*keys), keys))
 
 
+def _grown(
+    patterns: list[tuple[list[int], int, frozenset]], first: int, least: float, pages: int, longest: int | None
+) -> Iterator[tuple[list[int], int]]:
+    """The frequent sequences of two items and more that start with ``first``, with their rows.
+
+    ``patterns`` are sequences with their rows and up to ``pages`` of their
+    pages. What follows the first occurrence of a prefix decides how it grows.
+    """
+    open_ = [([first], [(p, p.index(first) + 1, n, held) for p, n, held in patterns])]
+    while open_:
+        prefix, rest = open_.pop()
+        if len(prefix) == longest:
+            continue
+        rows: dict[int, int] = {}
+        for p, at, n, _ in rest:
+            for item in set(p[at:]):
+                rows[item] = rows.get(item, 0) + n
+        for item, n in rows.items():
+            if n < least:
+                continue
+            after = [(p, p.index(item, at) + 1, m, held) for p, at, m, held in rest if item in p[at:]]
+            if all(len(x[3]) < pages for x in after) and len(frozenset().union(*(x[3] for x in after))) < pages:
+                continue
+            yield [*prefix, item], n
+            open_.append(([*prefix, item], after))
+
+
 def prefix_span(
     docs: DataFrame,
     sites: DataFrame,
     share: float = 0.2,
     pages: int = 5,
     least_rows: int = 20,
-    longest: int = 3,
+    longest: int | None = None,
 ) -> DataFrame:
     """``site, length, items, rows``: the frequent sequences of lines of each site.
 
@@ -76,13 +107,16 @@ def prefix_span(
     them or not, in at least ``share`` of all rows of the site and on at least
     ``pages`` different pages with an address. Sites not in ``sites`` or with
     fewer than ``least_rows`` rows have none. ``items`` are line identifiers.
-    Sequences grow up to ``longest`` lines; since every line of a frequent
-    sequence is frequent itself, longer ones add no line to remove.
+    Sequences grow until none is frequent, or up to ``longest`` lines.
 
     A null body has no lines but counts as a row of its site. A line of one
     document counts once. Frequent lines are few: at most 1/share times the
     mean number of lines of a site's rows, for each of the sites given; that
-    bounds what is broadcast.
+    bounds what is broadcast. Documents that agree in them are one pattern with
+    its rows; of each pattern's pages as many as ``pages`` suffice to tell
+    whether some patterns have that many together. Lines that always come
+    together have frequent sequences in each choice of them: the result may
+    double with every such line, but is written as it grows.
     """
     rows = sited(docs, sites)
     sizes = rows.groupBy("site").agg(F.count(F.lit(1)).alias("site_rows")).where(F.col("site_rows") >= least_rows)
@@ -98,33 +132,41 @@ def prefix_span(
     level = single.groupBy("site", "item").agg(F.count(F.lit(1)).alias("rows"), F.bit_or("bit").alias("bits"))
     level = _supported(level, ["site", "item"], single, sizes, share, pages)
     level = level.select("site", F.lit(1).alias("length"), F.array("item").alias("items"), "rows")
-    found = [level := materialize(level, "lines-1")]
-    if longest < 2:
+    level = materialize(level, "lines-1")
+    if longest is not None and longest < 2:
         return level
 
-    frequent = level.groupBy("site").agg(F.collect_set(F.col("items")[0]).alias("known"))
-    state = sequences.join(F.broadcast(frequent), "site").select(
-        "site", "page", "bit", F.filter("ids", lambda x: F.array_contains("known", x)).alias("rest")
+    # Documents become patterns: the places of their lines among the frequent ones of the site.
+    frequent = level.groupBy("site").agg(F.array_sort(F.collect_set(F.col("items")[0])).alias("known"))
+    frequent = frequent.join(sizes, "site")
+    known = F.filter("ids", lambda x: F.array_contains("known", x))
+    pattern = F.transform(known, lambda x: F.array_position("known", x).cast("int"))
+    each = sequences.join(F.broadcast(frequent), "site").select("site", "page", pattern.alias("pattern")).where(F.size("pattern") > 1)
+    each = materialize(each.groupBy("site", "pattern", "page").agg(F.count(F.lit(1)).alias("rows")), "lines-patterns")
+    place = F.row_number().over(Window.partitionBy("site", "pattern").orderBy("page"))
+    held = each.where(F.col("page").isNotNull()).select("site", "pattern", "page", place.alias("place")).where(F.col("place") <= pages)
+    held = held.groupBy("site", "pattern").agg(F.collect_list("page").alias("held"))
+    patterns = each.groupBy("site", "pattern").agg(F.sum("rows").alias("rows")).join(held, ["site", "pattern"], "left")
+    # One row per site and first line; a fixed number of partitions, as the work is in Python and not in the bytes.
+    firsts = patterns.select("site", F.explode(F.array_distinct("pattern")).alias("first"), F.struct("pattern", "rows", "held").alias("p"))
+    firsts = firsts.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "site", "first")
+    firsts = firsts.groupBy("site", "first").agg(F.collect_list("p").alias("patterns"))
+    firsts = firsts.join(F.broadcast(frequent.select("site", (F.col("site_rows") * F.lit(share) - F.lit(1e-9)).alias("least"))), "site")
+
+    def run(batches):
+        for b in batches:
+            for site, first, given, least in zip(b["site"], b["first"], b["patterns"], b["least"], strict=True):
+                own = [(p["pattern"].tolist(), p["rows"], frozenset(() if p["held"] is None else p["held"].tolist())) for p in given]
+                grown = _grown(own, first, least, pages, longest)
+                while part := list(itertools.islice(grown, 10_000)):
+                    places, rows = zip(*part, strict=True)
+                    yield pd.DataFrame({"site": site, "places": places, "rows": rows})
+
+    longer = firsts.mapInPandas(run, "site string, places array<int>, rows bigint").join(F.broadcast(frequent.select("site", "known")), "site")
+    longer = longer.select(
+        "site", F.size("places").alias("length"), F.transform("places", lambda i: F.element_at("known", i)).alias("items"), "rows"
     )
-    state = state.where(F.size("rest") > 1)
-    # One row per document and frequent prefix: what follows its first occurrence.
-    state = state.select("site", "page", "bit", F.array().cast("array<struct<a:bigint,b:bigint>>").alias("items"), "rest")
-    for length in range(2, longest + 1):
-        grown = state.select("site", "page", "bit", "items", "rest", F.explode(F.array_distinct("rest")).alias("item"))
-        after = F.slice(F.col("rest"), F.array_position("rest", F.col("item")).cast("int") + 1, F.size("rest"))
-        state = grown.select(
-            "site", "page", "bit", F.concat("items", F.array("item")).alias("items"), after.alias("rest")
-        ).join(F.broadcast(level.select("site", "items")), ["site", "items"], "left_semi")
-        longer = state.select(
-            "site", "page", "bit", "items", F.explode(F.array_distinct("rest")).alias("item")
-        ).select("site", "page", "bit", F.concat("items", F.array("item")).alias("items"))
-        level = longer.groupBy("site", "items").agg(F.count(F.lit(1)).alias("rows"), F.bit_or("bit").alias("bits"))
-        level = _supported(level, ["site", "items"], longer, sizes, share, pages)
-        found.append(level := materialize(level.select("site", F.lit(length).alias("length"), "items", "rows"), f"lines-{length}"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return level.unionByName(materialize(longer, "lines-longer"))
 
 
 def _with_repeated(docs: DataFrame, sites: DataFrame, sequences: DataFrame) -> DataFrame:

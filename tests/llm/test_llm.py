@@ -1,6 +1,7 @@
 """The operators on training text: against brute force, invariants, edge cases."""
 
 import collections
+import itertools
 import random
 from datetime import datetime
 
@@ -183,6 +184,26 @@ def test_repeated_lines(spark):
     assert prefix_span(df.limit(0), sites).count() == 0
 
 
+def test_sequences_of_any_length(spark):
+    rng = random.Random(6)
+    names = [f"line {chr(97 + k)}" for k in range(6)]
+    rows = []
+    for k in range(40):
+        lines = [x for x in names if rng.random() < 0.8] + [f"own {chr(0x4E00 + k)}"]
+        lines += [rng.choice(names)] if k % 2 else []
+        rows.append(doc(k, "\n".join(lines), url=f"http://s.test/{rng.randrange(7) if k % 5 else k % 3}"))
+    holds = collections.defaultdict(list)
+    for r in rows:
+        lines = [x for x in r[4].split("\n") if x in names]
+        for seq in {c for n in range(1, len(lines) + 1) for c in itertools.combinations(lines, n)}:
+            holds[seq].append(r[2])
+    want = collections.Counter((len(seq), len(urls)) for seq, urls in holds.items() if len(urls) >= 8 and len(set(urls)) >= 5)
+    assert max(n for n, _ in want) > 4
+    got = prefix_span(spark.createDataFrame(rows, DOCS), spark.createDataFrame([("s",)], "site string")).collect()
+    assert collections.Counter((r.length, r.rows) for r in got) == want
+    assert len({tuple(r["items"]) for r in got}) == len(got) and all(r.length == len(r["items"]) for r in got)
+
+
 # Problem 7
 
 
