@@ -1,6 +1,7 @@
 """Views, lints, passages, rendering and rewriting on small texts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.views import HIDDEN, clean_text, prose_view, typography_view, visible_text
 from inkwell.operators.lint import analyze, lint_hits, lint_metrics
 from inkwell.operators.passages import fit_body, query_terms, select_passages, units_of, without_navigation
-from inkwell.operators.render import allocate, even_shares, render_results
+from inkwell.operators.render import allocate, even_shares, most_shown, render, render_results
 from inkwell.operators.rewrite import changed_only, strip_front_matter, wrap_colors
 from inkwell.operators.rules import active_rules, builtin_rules
 from inkwell.operators.typography import check
@@ -122,6 +123,24 @@ def test_rendered_text_never_exceeds_the_budget(budget):
         assert len(text) <= budget and "<<<" not in text
 
 
+@pytest.mark.parametrize(("count", "budget"), [(51, 8000), (120, 8000), (120, 600)])
+def test_every_result_is_shown_or_counted(spark, count, budget):
+    rows = [("Q", k, f"h/{k}", f"t{k}", "b", None, None, None) for k in range(1, count + 1)]
+    df = spark.createDataFrame(rows, "query_id string, place int, url string, title string, body string, site string, publish string, authority int")
+    got = render(df, spark.createDataFrame([("Q", "t")], "id string, q string"), budget).collect()
+    shown = sum(f"\n   h/{k}\n" in got[0].text for k in range(1, count + 1))
+    foot = re.search(r"\[…(\d+) more results not shown\]$", got[0].text)
+    assert shown + (int(foot[1]) if foot else 0) == count == got[0].n_results and got[0].chars <= budget
+    keys = ("query_id", "place", "url", "title", "body", "site", "publish", "authority")
+    assert got[0].text == render_results([dict(zip(keys, r, strict=True)) for r in rows], "t", budget)
+
+
+def test_no_more_than_most_shown_fit():
+    for budget in (0, 60, 500, 8000):
+        text = render_results([{}] * 1000, "", budget)
+        assert text.count("\n   \n") <= most_shown(budget)
+
+
 def test_allocation():
     assert allocate(0, 100) == [] and allocate(3, 0) == [0, 0, 0]
     shares = allocate(17, 15000)
