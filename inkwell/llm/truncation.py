@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 # What a cut leaves at the end of a line: marks put there, and torn markup or characters.
 _MARK = r"(?:\s*\[(?:\.{3}|…)\]|\s*\(more\)|\.{3,}|…+)$"
-_TORN = r"(?:\x{FFFD}+|<[A-Za-z/!][^<>]*|&[A-Za-z#0-9]*|!?\[[^\]\[]{0,12}(?:\]\([^)]*)?)$"
+_TORN = r"(?:\x{FFFD}+|&[A-Za-z#0-9]*)$"
+#: What follows the last ``<`` and the last ``[`` of a line that ends inside a tag or a link's text.
+_TORN_TAG, _TORN_LINK = r"^[A-Za-z/!][^>]*$", r"^[^\]]*$"
 _TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{M}\x27]+|9(?:\.9)?|[^\s\p{L}\p{M}]"
 #: Where a text falls into sentences and lines.
 _BREAKS = r"(?<=[。！？；\n])|(?<=[.!?;])[ \t]+"
@@ -84,7 +86,7 @@ def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFram
     at other lines' ends; where the long gram is too rare to tell, the short
     one decides; where the last word is hardly known inside, the gram before
     it, which such a word hardly ever follows. A mark of omission is a sign of its own: such a line is cut unless
-    lines mostly end that way. A torn tag, entity, link or character at the end is a cut anyway.
+    lines mostly end that way. A torn tag, entity, link or character at the end is a cut anyway, however long it is.
 
     Null, empty and blank bodies are not cut. All lines of all bodies are
     counted, equal sentences once with their number. Bodies that differ in
@@ -105,15 +107,20 @@ def truncated(docs: DataFrame, least: int = 3, rarely: float = 0.01) -> DataFram
     # The last sentence of a line keeps the line end.
     bodies.select(pieces(F.concat("body", F.lit("\n"))).alias("sentences")).createOrReplaceTempView("cut_bodies")
     last = raw.select("hit_id", F.substring_index("body", "\n", -1).alias("raw")).where("raw <> ''")
-    # These patterns look at a line's end; a torn piece of markup is short.
+    # These patterns look at a line's end: torn entities and characters are short, as are marks.
     end = F.right("raw", F.lit(200))
-    ends = last.select(
-        "hit_id",
-        end.rlike(_TORN).alias("torn"),
-        end.rlike(_MARK).alias("marked"),
-        F.regexp_replace(end, _MARK, "").rlike(_CLOSED).alias("closed"),
-        pieces(F.col("raw")).alias("parts"),
-    )
+    closed = F.regexp_replace(end, _MARK, "").rlike(_CLOSED)
+
+    def after(mark: str) -> Column:
+        """What follows the last ``mark`` of the whole line; null without one."""
+        return F.when(F.col("raw").contains(mark), F.substring_index("raw", mark, -1))
+
+    # A text in brackets that never close may still end with a full stop; a tag or target does not.
+    link = after("[")
+    torn_link = link.rlike(_TORN_LINK) & ((F.length(link) <= 12) | ~closed)
+    torn = end.rlike(_TORN) | F.coalesce(after("<").rlike(_TORN_TAG), F.lit(False)) | F.coalesce(torn_link, F.lit(False))
+    torn |= F.coalesce(~after("](").contains(")"), F.lit(False))
+    ends = last.select("hit_id", torn.alias("torn"), end.rlike(_MARK).alias("marked"), closed.alias("closed"), pieces(F.col("raw")).alias("parts"))
     ending = _ENDING.format(blanks=_BLANKS, mark=_MARK)
     spark.sql(SENTENCES.format(ending=ending)).createOrReplaceTempView("cut_sentences")
     # Only the last sentence of a last line tells about its end.

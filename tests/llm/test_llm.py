@@ -134,6 +134,13 @@ def test_copies_do_not_testify_for_their_own_cut(spark, copies_):
     assert sorted(r.hit_id for r in got.collect()) == [100 + k for k in range(copies_)]
 
 
+def test_long_torn_markup_is_a_cut(spark):
+    cut = ["Text <img alt=\"a\" src=\"data:image/png;base64," + "aB3/" * 90, "See [the notes](https://t.test/c?u=" + "x1" * 150, "See [a text that is rather long and", "![logo](https://t.test/" + "y" * 30]
+    fine = ["See [the notes](https://t.test/" + "x" * 300 + ")", "Text <b>here</b> " + "word " * 60 + "ends.", "A [note that never closes, but ends."]
+    df = spark.createDataFrame([doc(k, b) for k, b in enumerate(cut + fine)], DOCS)
+    assert {r.hit_id for r in truncated(df).collect()} == set(range(len(cut)))
+
+
 # Problem 4
 
 
