@@ -95,8 +95,6 @@ def _interval(spark: SparkSession, d: str) -> DataFrame:
     from inkwell.functions.spans import find_spans
 
     docs = table(spark, d, "documents").select("doc_id", "text")
-    odd = r"[0-9][0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9]"
-    docs = docs.where(~F.col("text").rlike(odd))
     hits = docs.select("doc_id", F.explode(find_spans(F.col("text"), "[0-9]{2}")).alias("s")).select("doc_id", "s.start", "s.end")
     spans = docs.select("doc_id", find_spans(F.col("text"), "[0-9]{4}-[0-9]{2}-[0-9]{2}").alias("spans"))
     return outside_spans(hits, spans, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("outside"))

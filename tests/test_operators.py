@@ -1,5 +1,6 @@
 """Joins, store, evaluation, sources, streams and the entry file."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -121,3 +122,18 @@ def test_entry_and_some_queries(spark, tiny):
     assert set(entry.oracle_sql()) <= set(queries)
     for name in ("p5_found", "merge_by_url", "asof_cache_lookup", "typography_findings", "stream_tumbling", "render_budgeted"):
         assert queries[name](spark, tiny).count() > 0
+
+
+def test_hits_outside_dates_where_digits_touch_a_date(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    texts = ["12345-01-02 99", "2024-01-023 and 77", "2024-01-02", "on 2024-01-02 at 10", "1234567-01-02", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, text in enumerate(texts):
+        dates = [m.span() for m in re.finditer("[0-9]{4}-[0-9]{2}-[0-9]{2}", text or "")]
+        hits = [m.span() for m in re.finditer("[0-9]{2}", text or "")]
+        if n := sum(not any(a <= s and e <= b for a, b in dates) for s, e in hits):
+            want[k] = n
+    got = queries()["interval_containment_anti"](spark, str(tmp_path))
+    assert {r.doc_id: r.outside for r in got.collect()} == want and {0, 1, 4} & set(want)
