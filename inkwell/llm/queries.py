@@ -111,7 +111,8 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``hit_id`` of every hit whose body was cut off."""
-    return truncated(table(spark, sf_dir, "docs"))
+    docs = table(spark, sf_dir, "docs")
+    return truncated(docs, docs.count())
 
 
 @_query
@@ -119,7 +120,7 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source and site cuts."""
     docs = table(spark, sf_dir, "docs")
     sites = docs.select("hit_id", "source", site_of(F.col("site"), F.col("url")).alias("site"))
-    return truncation_rates(sites, truncated(docs))
+    return truncation_rates(sites, truncated(docs, docs.count()))
 
 
 @_query

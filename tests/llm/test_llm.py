@@ -119,18 +119,18 @@ def test_truncation(spark):
     }
     fine = {200: whole[0], 201: "版权所有，转载请注明出处", 202: None, 203: "", 204: " \n ", 205: whole[1] + "\n\n"}
     df = spark.createDataFrame(rows + [doc(k, b) for k, b in (cut | fine).items()], DOCS)
-    got = truncated(df)
+    got = truncated(df, 60)
     assert {r.hit_id for r in got.collect()} == set(cut)
     rates = truncation_rates(df.withColumn("source", F.lit("d")), got).collect()
     assert [(r.rows, r.cut_rows) for r in rates] == [(52, 6)]
-    assert truncated(df.limit(0)).count() == 0
+    assert truncated(df.limit(0), 0).count() == 0
 
 
 @pytest.mark.parametrize("copies_", [1, 2, 30])
 def test_copies_do_not_testify_for_their_own_cut(spark, copies_):
     rows = [doc(k, f"Report {chr(97 + k)} says the river was high, and many readers waited for it.\nShare this page") for k in range(12)]
     cut = [doc(100 + k, ("The river was high, and many", "THE RIVER  was high, and many")[k % 2]) for k in range(copies_)]
-    got = truncated(spark.createDataFrame(rows + cut, DOCS))
+    got = truncated(spark.createDataFrame(rows + cut, DOCS), 50)
     assert sorted(r.hit_id for r in got.collect()) == [100 + k for k in range(copies_)]
 
 
@@ -138,7 +138,7 @@ def test_long_torn_markup_is_a_cut(spark):
     cut = ["Text <img alt=\"a\" src=\"data:image/png;base64," + "aB3/" * 90, "See [the notes](https://t.test/c?u=" + "x1" * 150, "See [a text that is rather long and", "![logo](https://t.test/" + "y" * 30]
     fine = ["See [the notes](https://t.test/" + "x" * 300 + ")", "Text <b>here</b> " + "word " * 60 + "ends.", "A [note that never closes, but ends."]
     df = spark.createDataFrame([doc(k, b) for k, b in enumerate(cut + fine)], DOCS)
-    assert {r.hit_id for r in truncated(df).collect()} == set(range(len(cut)))
+    assert {r.hit_id for r in truncated(df, 9).collect()} == set(range(len(cut)))
 
 
 # Problem 4
