@@ -144,9 +144,10 @@ def truncated(docs: DataFrame, total: int, least: int = 3, rarely: float = 0.01)
     # A text in brackets that never closes may still end with a full stop; a tag or target does not.
     torn = F.col("raw").rlike(_TORN) | (~F.col("closed") & F.col("raw").rlike(_TORN_LINK))
     last = last.select("hit_id", "raw", "with_mark", "closed", torn.alias("torn")).where("torn or not closed")
-    # What is torn says nothing itself; the words before it do.
+    # What is torn says nothing itself; the words before it do, where there are some.
     kept = F.when(F.col("torn"), F.regexp_replace("raw", _TORN_TAIL, "")).otherwise(F.col("raw"))
-    ends = last.select("hit_id", F.expr("with_mark or torn").alias("marked"), kept.alias("kept"))
+    last = last.select("hit_id", F.expr("with_mark or torn").alias("marked"), "raw", kept.alias("kept"))
+    ends = last.select("hit_id", "marked", F.when(F.btrim("kept", F.lit(_BLANKS)) != "", F.col("kept")).otherwise(F.col("raw")).alias("kept"))
     ends = ends.select("hit_id", "marked", pieces(F.col("kept")).alias("parts"))
     # Only the last sentence of a last line tells about its end.
     parts = F.filter("parts", lambda s: F.btrim(s, F.lit(_BLANKS)) != "")
