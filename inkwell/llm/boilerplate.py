@@ -1,32 +1,41 @@
 """Problem 2: the article of a page without the page around it.
 
-Consensus host paths. A body is cut into containers: runs of lines of one tag.
-A line's path is its tag with its generalised class, the text without digits,
-targets and marks. Containers are scored by how much their windows of
-three words belong to dense running text anywhere in the corpus. Each host's
-pages vote on its paths; paths on many hosts are voted on by all. Pages are
+Consensus host paths. A body is cut into containers: a paragraph or a heading
+is one of its own, items, links and quotes in a row are one together. The path
+of a line is its container's tag with the line's generalised class, its text
+without digits, targets and white space. A container's score is the share of
+its windows of about three words that stand mostly in dense running text over
+the whole corpus. Each host's pages vote on its paths with the scores of the
+containers they stand in; paths on many hosts are voted on by all. Pages are
 then extracted again, by the winning paths where there are some and by their
-own score where there are none.
+own containers' scores where there are none.
+
+Bodies are read once, into lines that hold all that is needed later; windows
+are counted by their whole 64-bit keys and joined, so nothing that grows with
+the corpus is broadcast.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.urls import canonical_url, site_of, strip
 from inkwell.operators.skew import lookup_join
 from inkwell.session import materialize
 
-#: Windows are counted in this many buckets, which bounds what is broadcast.
-BUCKETS = 1 << 20
+#: So many windows of one batch are counted before they are handed on.
+WINDOWS_AT_ONCE = 4_000_000
+#: A window belongs to running text if at least this share of its occurrences does.
+DENSE_SHARE = 0.3
 
 _TARGET = re.compile(r"\]\([^)\s]*\)")
 _ADDRESS = re.compile(r"https?://\S+")
@@ -67,11 +76,12 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def window_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the windows of about three words of texts, and which text each is from.
+def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the windows of about three words of texts, and which text each is from.
 
     Rolling hashes over folded characters; runs of digits and of white space
-    count as one.
+    count as one. A window begins at each word, and at each character of a
+    script without spaces.
     """
     texts = [_ADDRESS.sub("", _TARGET.sub("]", x)) if "](" in x or "://" in x else x for x in texts]
     sizes = np.array([len(x) for x in texts], np.int64)
@@ -85,7 +95,7 @@ def window_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     counts = np.bincount(owner, minlength=len(texts))
-    place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(n)
     with np.errstate(over="ignore"):
         mixed = (codes + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
         mixed ^= mixed >> np.uint64(33)
@@ -94,34 +104,32 @@ def window_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * down)])
         wide = codes >= _WIDE_FROM
         size = np.where(wide, _WIDE_SIZE, _SPACED)
-        at = np.flatnonzero(place >= size - 1)
-        keys = (sums[at + 1] - sums[at + 1 - size[at]]) * up[at]
+        begins = np.ones(n, bool)
+        begins[1:] = wide[1:] | (codes[:-1] == ord(" ")) | wide[:-1] | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(begins & (left >= size) & (codes != ord(" ")))
+        keys = (sums[at + size[at]] - sums[at]) * up[at]
         keys ^= keys >> np.uint64(29)
-        return ((keys * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(44)).astype(np.int64) % BUCKETS, owner[at]
+        return (keys * np.uint64(0xC4CEB9FE1A85EC53)).view(np.int64), owner[at]
 
 
 class Line:
     """One line that is not blank: its number, tag, text without marks, and what is known of it."""
 
-    __slots__ = ("no", "tag", "text", "ended", "dense", "blank_before", "article", "_path")
+    __slots__ = ("no", "tag", "text", "ended", "dense", "blank_before")
 
     def __init__(self, no: int, tag: str, text: str, blank_before: bool):
         self.no, self.tag, self.text, self.blank_before = no, tag, text, blank_before
         self.ended = bool(_END.search(text[-12:]))
         self.dense = False
-        self.article = False
-        self._path: int | None = None
 
     @property
     def path(self) -> int:
-        """64 bits of the tag's kind and the generalised class."""
-        if self._path is None:
-            key = self.text.lower()
-            if "](" in key or "://" in key:
-                key = _ADDRESS.sub("", _TARGET.sub("]", key))
-            key = _DIGITS.sub("9", "".join(key.split()))
-            self._path = xxhash.xxh64_intdigest(("s" if self.ended else "w") + key) - (1 << 63)
-        return self._path
+        """64 bits of the tag and the generalised class."""
+        key = self.text.lower()
+        if "](" in key or "://" in key:
+            key = _ADDRESS.sub("", _TARGET.sub("]", key))
+        key = _DIGITS.sub("9", "".join(key.split()))
+        return xxhash.xxh64_intdigest(f"{self.tag}{'.' if self.ended else ' '}{key}") - (1 << 63)
 
 
 def _weight(text: str) -> float:
@@ -200,9 +208,14 @@ def _folded(text: str | None) -> str:
     return _FOLD.sub("", (text or "").lower())
 
 
-def _item_like(line: Line) -> bool:
-    """What a list beside the article consists of: short lines that are no sentences."""
-    return line.tag in ("li", "la", "ni", "a") or (line.tag == "p" and not line.ended)
+#: Tags whose lines stand together in one container; each other line is one of its own.
+_LISTS = frozenset(("li", "la", "ni", "a", "m", "q"))
+#: Tags of what belongs to the article wherever it stands: tables, code, references.
+_ARTICLE = frozenset(("t", "c", "r"))
+# What a line is, in bits.
+_ENDED, _DENSE, _BLANK, _TITLED, _CLOSES, _TRAILS, _TORN, _HEADS, _FIRST = (1 << k for k in range(9))
+_TAGS = ("h", "b", "li", "la", "ni", "a", "m", "q", "r", "t", "c", "p")
+_TAG_NUMBER = {tag: k for k, tag in enumerate(_TAGS)}
 
 
 def _heads_a_list(lines: list[Line], k: int) -> bool:
@@ -211,146 +224,206 @@ def _heads_a_list(lines: list[Line], k: int) -> bool:
     return len(after) == 2 and all(x.tag in ("li", "ni", "a") and not x.ended and not x.blank_before for x in after)
 
 
-_COUNTED = frozenset(("p", "q", "h", "b", "a", "m", "la", "ni"))
-
+def _bits(lines: list[Line], k: int, name: str) -> int:
+    line = lines[k]
+    said = (line.ended and _ENDED) | (line.dense and _DENSE) | (line.blank_before and _BLANK)
+    said |= (bool(name) and _folded(line.text) == name and _TITLED) | (bool(_CLOSING.match(line.text)) and _CLOSES)
+    said |= (bool(_TRAIL.search(line.text)) and _TRAILS) | (bool(_CUT.search(line.text)) and _TORN)
+    return int(said | (_heads_a_list(lines, k) and _HEADS))
 
-def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        alone, dense = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        bodies = b["body"].tolist()
-        for k in range(0, len(bodies), 1000):
-            lines = [x for body in bodies[k : k + 1000] for x in lines_of(body) if x.tag in _COUNTED]
-            grams, owner = window_buckets([x.text for x in lines])
-            running = np.array([x.dense for x in lines], bool)[owner]
-            dense += np.bincount(grams[running], minlength=BUCKETS)
-            alone += np.bincount(grams[~running], minlength=BUCKETS)
-        at = np.flatnonzero(dense + alone)
-        yield pd.DataFrame({"bucket": at, "dense": dense[at], "alone": alone[at]})
-
-
-def gram_shares(pages: DataFrame) -> np.ndarray:
-    """For each bucket of windows, the share of its occurrences that stand in dense text; all pages counted."""
-    got = (
-        pages.mapInPandas(_count_grams, "bucket bigint, dense bigint, alone bigint")
-        .groupBy("bucket")
-        .agg(F.sum("dense").alias("dense"), F.sum("alone").alias("alone"))
-        .toPandas()
-    )
-    shares = np.full(BUCKETS, 0.0, np.float32)
-    shares[got["bucket"]] = got["dense"] / (got["dense"] + got["alone"])
-    return shares
 
+def containers_of(lines: list[Line]) -> list[list[int]]:
+    """The places of the lines of each container: list-like lines of one tag in a row, others alone."""
+    out: list[list[int]] = []
+    for k, line in enumerate(lines):
+        before = lines[k - 1] if k else None
+        if before and line.tag in _LISTS and line.tag == before.tag and not line.blank_before and line.dense == before.dense:
+            out[-1].append(k)
+        else:
+            out.append([k])
+    return out
 
-def _score(line: Line, shares: np.ndarray, known: dict[int, float]) -> float:
-    """How much a line belongs to running text: the share of its windows met there; 0 if it has none.
 
-    ``known`` holds the scores of the paths met so far.
-    """
-    if line.dense:
-        return 1.0
-    if line.path not in known:
-        grams, _ = window_buckets([line.text])
-        known[line.path] = float(np.mean(shares[grams] > 0.3)) if len(grams) else 0.0
-    return known[line.path]
+_SHAPE = pa.schema(
+    [("hit_id", pa.int64()), ("host", pa.string()), ("page", pa.int64()), ("named", pa.bool_()), ("body", pa.string())]
+    + [(k, pa.list_(pa.int32())) for k in ("numbers", "tags", "bits")]
+    + [(k, pa.list_(pa.int64())) for k in ("paths", "containers", "windows", "dense", "alone", "asked", "asked_windows", "times", "sizes")]
+)
+_READ = "hit_id bigint, host string, page bigint, named boolean, body string, " + ", ".join(
+    f"{f.name} array<{'int' if f.type.value_type == pa.int32() else 'bigint'}>" for f in list(_SHAPE)[5:]
+)
 
 
-def _votes(broadcast) -> object:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shares = broadcast.value
-        for b in batches:
-            found: dict[tuple[str, int], list] = {}
-            known: dict[int, float] = {}
-            for host, page, body in zip(b["host"], b["page"], b["body"], strict=True):
-                bit = 0 if page is None or page != page else 1 << int(page)
-                seen: dict[int, tuple[float, bool]] = {}
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Keys once, with the sums of what belongs to them."""
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    columns = [np.concatenate([p[k] for p in parts]) for k in range(1, len(parts[0]))]
+    return keys, *[np.bincount(at, weights=c, minlength=len(keys)).astype(np.int64) for c in columns]
+
+
+class _Reading:
+    """What one task has read and not handed on yet: windows with their counts, and containers that ask for theirs."""
+
+    def __init__(self):
+        self.counts: list[tuple[np.ndarray, ...]] = []
+        self.asked: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+
+    def add(self, containers: list[tuple[int, list[Line]]]) -> None:
+        """Counts the windows of containers; those that are not dense but hold ended lines ask for theirs."""
+        owners = [(k, x.dense, x.ended) for k, (_, lines) in enumerate(containers) for x in lines]
+        keys, line = windows_of([x.text for _, lines in containers for x in lines])
+        if not len(keys):
+            return
+        container, dense, ended = (np.array(x) for x in zip(*owners, strict=True))
+        running = dense[line].astype(np.int64)
+        self.counts.append(_summed([(keys, running, 1 - running)]))
+        if len(self.counts) > 1 and sum(len(c[0]) for c in self.counts) > WINDOWS_AT_ONCE // 4:
+            self.counts = [_summed(self.counts)]
+        of = container[line]
+        sizes = np.bincount(of, minlength=len(containers))
+        asks = ended[line] & ~dense[line]
+        begins = np.searchsorted(of[asks], np.arange(len(containers) + 1))
+        keys = keys[asks]
+        for k in np.flatnonzero(np.diff(begins)):
+            name = containers[k][0]
+            if name not in self.asked:
+                self.asked[name] = *np.unique(keys[begins[k] : begins[k + 1]], return_counts=True), int(sizes[k])
+
+    def full(self) -> bool:
+        return sum(len(c[0]) for c in self.counts) > WINDOWS_AT_ONCE
+
+    def hand_on(self) -> dict[str, pa.Array]:
+        """The columns of one row with all that was counted; nothing if nothing was."""
+        if not self.counts:
+            return {}
+        windows, dense, alone = _summed(self.counts)
+        names = list(self.asked)
+        own = [self.asked[n] for n in names] or [(windows[:0], windows[:0], 0)]
+        lengths = [len(w) for w, _, _ in own]
+        row = {
+            "windows": windows, "dense": dense, "alone": alone,
+            "asked": np.repeat(np.array(names or [0], np.int64), lengths),
+            "asked_windows": np.concatenate([w for w, _, _ in own]),
+            "times": np.concatenate([t for _, t, _ in own]).astype(np.int64),
+            "sizes": np.repeat(np.array([n for _, _, n in own], np.int64), lengths),
+        }
+        self.__init__()
+        return {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64())) for k, v in row.items()}
+
+
+def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of the read form; columns that are not given are null."""
+    rows = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)).cast(f.type) for f in _SHAPE], schema=_SHAPE)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of pages, and beside them the counts of all windows: bodies are read this once only."""
+    reading = _Reading()
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 1000):
+            part = whole.slice(begin, 1000)
+            offsets, named, told = [0], [], []
+            flat: dict[str, list[int]] = {k: [] for k in ("numbers", "tags", "bits", "paths", "containers")}
+            for title, body in zip(part["title"].to_pylist(), part["body"].to_pylist(), strict=True):
                 lines = lines_of(body)
-                for k, line in enumerate(lines):
-                    if line.tag not in ("t", "c", "r") and not line.dense:
-                        path = line.path
-                        if path not in seen:
-                            score = _score(line, shares, known) if line.ended else 0.0
-                            seen[path] = score, _heads_a_list(lines, k)
-                for path, (score, heads) in seen.items():
-                    v = found.setdefault((host, path), [0, 0.0, 0, 0])
-                    v[0] += 1
-                    v[1] += score
-                    v[2] |= bit
-                    v[3] += heads
-            yield pd.DataFrame(
-                {
-                    "host": [k[0] for k in found],
-                    "path": [k[1] for k in found],
-                    "rows": np.array([v[0] for v in found.values()], np.int64),
-                    "bits": np.array([v[2] for v in found.values()], np.int64),
-                    "heads": np.array([v[3] for v in found.values()], np.int64),
-                    "score": np.array([v[1] for v in found.values()], np.float64),
-                }
-            )
-
-    return run
-
-
-def _label(lines: list[Line], title: str | None, own: dict[int, bool], heads: frozenset[int], score: Callable[[Line], float]) -> None:
-    """Marks the article's lines. ``own``: the winning paths, True for content; ``heads``: those that head lists."""
-    name = _folded(title)
-    beside = begun = False  # inside a list beside the article; behind its first line
-    for k, line in enumerate(lines):
-        tag, last = line.tag, k == len(lines) - 1
-        verdict = own.get(line.path) if tag not in ("t", "c", "r") and not line.dense else None
-        titled = bool(name) and _folded(line.text) == name
-        if beside and (line.blank_before or not _item_like(line) or (titled and tag in ("p", "ni"))):
+                name = _folded(title)
+                paths = [0 if x.tag in _ARTICLE or x.dense else x.path for x in lines]
+                said = [_bits(lines, k, name) for k in range(len(lines))]
+                for k in {path: k for k, path in reversed(list(enumerate(paths)))}.values():
+                    said[k] |= _FIRST
+                own = [0] * len(lines)
+                for places in containers_of(lines):
+                    first = places[0]
+                    if lines[first].tag in _ARTICLE:
+                        continue
+                    named_so = paths[first]
+                    if len(places) > 1 and not lines[first].dense:
+                        named_so = xxhash.xxh64_intdigest(np.array([paths[k] for k in places], np.int64).tobytes()) - (1 << 63)
+                    for k in places:
+                        own[k] = named_so
+                    told.append((named_so, [lines[k] for k in places]))
+                named.append(bool(name))
+                offsets.append(offsets[-1] + len(lines))
+                flat["numbers"] += [x.no for x in lines]
+                flat["tags"] += [_TAG_NUMBER[x.tag] for x in lines]
+                flat["bits"] += said
+                flat["paths"] += paths
+                flat["containers"] += own
+            reading.add(told)
+            columns = {k: part[k] for k in ("hit_id", "host", "page", "body")} | {"named": pa.array(named, pa.bool_())}
+            at = pa.array(offsets, pa.int32())
+            columns |= {k: pa.ListArray.from_arrays(at, pa.array(v, pa.int64())) for k, v in flat.items()}
+            yield _batch(columns)
+            if reading.full():
+                yield _batch(reading.hand_on())
+    if rest := reading.hand_on():
+        yield _batch(rest)
+
+
+def _articles(row, own: dict[int, bool], heads: frozenset[int], scores: dict[int, float]) -> list[bool]:
+    """Which lines are of the article. ``own``: the winning paths, True for content; ``heads``: those that head lists."""
+    tags, bits, paths, containers = (x.tolist() for x in (row.tags, row.bits, row.paths, row.containers))
+    out: list[bool] = []
+    beside = False  # inside a list beside the article
+    for k, (number, said, path) in enumerate(zip(tags, bits, paths, strict=True)):
+        tag, last = _TAGS[number], k == len(tags) - 1
+        titled, ended, dense = said & _TITLED, said & _ENDED, said & _DENSE
+        fixed = tag in _ARTICLE or dense
+        verdict = None if fixed else own.get(path)
+        item = tag in ("li", "la", "ni", "a") or (tag == "p" and not ended)
+        if beside and (said & _BLANK or not item or (titled and tag in ("p", "ni"))):
             beside = False
-        if tag in ("t", "c", "r"):
-            line.article = True
-        elif _CLOSING.match(line.text):
-            line.article = True
-        elif line.dense:
-            line.article = True
+        score = scores.get(containers[k], 0.0)
+        if fixed or said & _CLOSES:
+            article = True
         elif beside:
-            line.article = False
+            article = False
         elif titled and tag in ("p", "h", "b", "ni"):
-            line.article = True
+            article = True
         elif tag in ("h", "b"):
-            line.article = verdict is None
-        elif not name and not begun and verdict is None and tag == "p" and not last and lines[k + 1].dense and not _TRAIL.search(line.text):
-            line.article = True  # a page without a title has it above its text
+            article = verdict is None
+        elif not (row.named or any(out) or last) and verdict is None and tag == "p" and bits[k + 1] & _DENSE and not said & _TRAILS:
+            article = True  # a page without a title has it above its text
         elif tag in ("a", "m", "la", "ni"):
-            line.article = False
+            article = False
         elif tag == "li":
-            line.article = verdict is not False
-        elif last and verdict is None and _CUT.search(line.text):
-            line.article = True
-        elif line.ended:
-            line.article = verdict if verdict is not None else score(line) >= 0.5
+            article = verdict is not False
+        elif last and verdict is None and said & _TORN:
+            article = True
+        elif ended:
+            article = verdict if verdict is not None else score >= 0.5
         else:
-            line.article = verdict is None and last and score(line) >= 0.6
-        if verdict is False and not line.article and (tag in ("h", "b") or (tag == "p" and line.path in heads)):
+            article = verdict is None and last and score >= 0.6
+        if verdict is False and not article and (tag in ("h", "b") or (tag == "p" and path in heads)):
             beside = True
-        begun |= line.article
+        out.append(article)
+    return out
 
 
 def _extract(broadcast, emit: str) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shares, everywhere = broadcast.value
+        everywhere = broadcast.value
         common = dict.fromkeys(everywhere[0].tolist(), False) | dict.fromkeys(everywhere[1].tolist(), True)
         heads = frozenset(everywhere[2].tolist())
+        own: dict[int, bool] = {}
+        host = None
         for b in batches:
             ids, numbers, bodies = [], [], []
-            known: dict[int, float] = {}
-            for hit, title, body, poor, rich in zip(b["hit_id"], b["title"], b["body"], b["poor"], b["rich"], strict=True):
-                own = dict(common)
-                own |= dict.fromkeys(rich if rich is not None else (), True)
-                own |= dict.fromkeys(poor if poor is not None else (), False)
-                lines = lines_of(body)
-                _label(lines, title, own, heads, lambda line: _score(line, shares, known))
+            for row in b.itertuples(index=False):
+                if row.host != host or not own:
+                    host = row.host
+                    rich, poor = (() if x is None else x for x in (row.rich, row.poor))
+                    own = common | dict.fromkeys(rich, True) | dict.fromkeys(poor, False)
+                scores = {} if row.scored is None else dict(zip(row.scored.tolist(), row.scores.tolist(), strict=True))
+                around = row.numbers[~np.array(_articles(row, own, heads, scores), bool)] if len(row.numbers) else []
                 if emit == "lines":
-                    out = [x.no for x in lines if not x.article]
-                    ids += [hit] * len(out)
-                    numbers += out
+                    ids += [row.hit_id] * len(around)
+                    numbers.extend(around)
                 else:
-                    drop = {x.no for x in lines if not x.article}
-                    ids.append(hit)
-                    bodies.append("\n".join(x for no, x in enumerate(body.split("\n"), 1) if no not in drop).strip("\n"))
+                    drop = set(around)
+                    ids.append(row.hit_id)
+                    bodies.append("\n".join(x for no, x in enumerate(row.body.split("\n"), 1) if no not in drop).strip("\n"))
             if emit == "lines":
                 yield pd.DataFrame({"hit_id": np.array(ids, np.int64), "line_no": np.array(numbers, np.int64)})
             else:
@@ -359,6 +432,22 @@ def _extract(broadcast, emit: str) -> object:
     return run
 
 
+def container_scores(read: DataFrame) -> DataFrame:
+    """``container, score``: the share of a container's windows in lines that end which stand mostly in running text.
+
+    Containers without any such window are left out.
+    """
+    # Outer explodes: an inner one would read each row once more to see whether it has parts.
+    told = read.where(F.col("windows").isNotNull())
+    counted = told.select(F.explode_outer(F.arrays_zip("windows", "dense", "alone")).alias("w")).select("w.*")
+    counted = counted.groupBy("windows").agg(F.sum("dense").alias("dense"), F.sum("alone").alias("alone"))
+    running = counted.where(F.col("dense") > DENSE_SHARE * (F.col("dense") + F.col("alone"))).select("windows")
+    asked = told.select(F.explode_outer(F.arrays_zip("asked", "asked_windows", "times", "sizes")).alias("a")).select("a.*").where("asked is not null")
+    asked = asked.groupBy("asked", F.col("asked_windows").alias("windows")).agg(F.max("times").alias("times"), F.max("sizes").alias("sizes"))
+    score = F.least(F.sum("times") / F.max("sizes"), F.lit(1.0))
+    return asked.join(running, "windows").groupBy(F.col("asked").alias("container")).agg(score.alias("score"))
+
+
 def main_body(
     docs: DataFrame,
     total: int,
@@ -374,41 +463,53 @@ def main_body(
     article's lines and the blank lines between them. A path wins on a host
     that shows it on ``host_share`` of its rows, anywhere on ``common_share``
     of all rows and four times ``least_pages`` at least, and on at least
-    ``least_pages`` different pages; it wins as content if its
-    lines score 0.5 or more on average. At most ``1 / common_share`` times the
-    mean number of lines of a page can win everywhere, which bounds what is
-    broadcast beside the ``BUCKETS`` shares. ``total`` is the number of rows.
+    ``least_pages`` different pages; it wins as content if the containers it
+    stands in score 0.5 or more on average. At most ``1 / common_share`` times
+    the mean number of lines of a page can win everywhere, which bounds what is
+    broadcast. ``total`` is the number of rows.
 
     A null, empty or blank body gives no lines, and a null body is left out
     of the bodies. A page of a host that is met nowhere else is judged by the
-    paths of all hosts and its own score. Repeated rows give their lines each.
+    paths of all hosts and its own scores. Repeated rows give their lines each.
     """
     spark = docs.sparkSession
-    pages = docs.where(F.col("body").isNotNull()).select(
-        "hit_id", "title", "body", F.coalesce(site_of(F.col("site"), F.col("url")), F.lit("")).alias("host"),
-        F.when(strip(F.col("url")) != "", F.pmod(F.xxhash64(canonical_url(F.col("url"))), F.lit(63))).alias("page"),
+    body = F.col("body")
+    pages = docs.where(body.isNotNull()).select(
+        "hit_id", F.coalesce(site_of(F.col("site"), F.col("url")), F.lit("")).alias("host"),
+        F.when(strip(F.col("url")) != "", F.xxhash64(canonical_url(F.col("url")))).alias("page"), "title", "body",
+    )
+    read = pages.mapInArrow(_read, _READ)
+    read = materialize(read if emit == "bodies" else read.withColumn("body", F.lit(None).cast("string")), "pages")
+    scores = materialize(container_scores(read), "container-scores")
+    read = read.where(F.col("numbers").isNotNull())
+
+    lines = F.filter(F.arrays_zip("paths", "containers", "bits"), lambda x: x["paths"] != 0)
+    each = read.select("hit_id", "host", "page", F.explode_outer(lines).alias("x")).where(F.col("x").isNotNull()).select(
+        "hit_id", "host", "page", F.col("x.paths").alias("path"), F.col("x.containers").alias("container"), F.col("x.bits").alias("said")
     )
-    shares = gram_shares(pages.select("body"))
-    told = spark.sparkContext.broadcast(shares)
-    votes = pages.select("host", "page", "body").mapInPandas(
-        _votes(told), "host string, path bigint, rows bigint, bits bigint, heads bigint, score double"
+    # A path votes once a page, with the container it stands in first.
+    first = each.where(F.col("said").bitwiseAND(_FIRST) != 0)
+    bit = F.when(F.col("page").isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("page", F.lit(63)).cast("int")))
+    heads = (F.col("said").bitwiseAND(_HEADS) != 0).cast("int")
+    votes = first.groupBy("host", "path", "container").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(heads).alias("heads"), F.bit_or(F.coalesce(bit, F.lit(0).cast("bigint"))).alias("bits")
     )
+    votes = votes.join(scores, "container", "left")
     tally = [F.sum("rows").alias("rows"), F.sum("heads").alias("heads"), F.bit_or("bits").alias("bits"), F.sum("score").alias("score")]
-    votes = materialize(votes.groupBy("host", "path").agg(*tally), "paths")
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_rows"))
+    votes = votes.withColumn("score", F.col("rows") * F.coalesce("score", F.lit(0.0))).groupBy("host", "path").agg(*tally)
+    votes = materialize(votes, "paths")
+    sizes = read.groupBy("host").agg(F.count(F.lit(1)).alias("host_rows"))
     content = F.col("score") >= 0.5 * F.col("rows")
-    enough = F.bit_count("bits") >= least_pages
     everywhere = (
         votes.groupBy("path")
         .agg(*tally, F.count(F.lit(1)).alias("hosts"))
-        .where((F.col("rows") >= max(common_share * total, 4 * least_pages)) & (F.col("hosts") > 1) & enough)
-        .select("path", content.alias("content"), (F.col("heads") >= 0.25 * F.col("rows")).alias("heads"))
-        .toPandas()
+        .where((F.col("rows") >= max(common_share * total, 4 * least_pages)) & (F.col("hosts") > 1))
     )
+    everywhere = _on_pages(everywhere, first, ["path"], least_pages)
+    everywhere = everywhere.select("path", content.alias("content"), (F.col("heads") >= 0.25 * F.col("rows")).alias("heads")).toPandas()
+    often = votes.join(sizes, "host").where((F.col("rows") >= host_share * F.col("host_rows")) & (F.col("rows") >= least_pages))
     wins = (
-        votes.where(enough)
-        .join(sizes, "host")
-        .where(F.col("rows") >= host_share * F.col("host_rows"))
+        _on_pages(often, first, ["host", "path"], least_pages)
         .groupBy("host")
         .agg(
             F.max("host_rows").alias("host_rows"),
@@ -421,7 +522,22 @@ def main_body(
         everywhere.loc[everywhere["content"].astype(bool), "path"].to_numpy(np.int64),
         everywhere.loc[everywhere["heads"].astype(bool), "path"].to_numpy(np.int64),
     )
-    rows = lookup_join(pages.drop("page"), wins, ["host"], "host_rows", total, "hit_id", least=1000, twice=True)
+    # Each page meets the scores of its own containers; those whose line wins everywhere need none.
+    known = spark.createDataFrame(pd.DataFrame({"path": np.concatenate(common[:2])}), "path bigint")
+    open_ = each.join(F.broadcast(known), "path", "left_anti").where(F.col("said").bitwiseAND(_ENDED) != 0)
+    sought = open_.select("hit_id", "container").distinct()
+    held = sought.groupBy("container").agg(F.count(F.lit(1)).alias("n")).join(scores, "container")
+    told = lookup_join(sought, held, ["container"], "n", total, "hit_id").where(F.col("score").isNotNull())
+    told = told.groupBy("hit_id").agg(F.collect_list("container").alias("scored"), F.collect_list("score").alias("scores"))
+    rows = read.select("hit_id", "host", "named", "numbers", "tags", "bits", "paths", "containers", *(["body"] if emit == "bodies" else []))
+    rows = lookup_join(rows.join(told, "hit_id", "left"), wins, ["host"], "host_rows", total, "hit_id", least=1000)
     schema = "hit_id bigint, line_no bigint" if emit == "lines" else "hit_id bigint, body string"
-    chosen = rows.select("hit_id", "title", "body", "poor", "rich")
-    return chosen.mapInPandas(_extract(spark.sparkContext.broadcast((shares, common)), emit), schema)
+    return rows.mapInPandas(_extract(spark.sparkContext.broadcast(common), emit), schema)
+
+
+def _on_pages(often: DataFrame, first: DataFrame, keys: list[str], pages: int) -> DataFrame:
+    """Those of ``often`` that enough different pages show; counted one by one only where 63 bits cannot tell."""
+    sure, few = often.where(F.bit_count("bits") >= pages), often.where(F.bit_count("bits") < pages)
+    rows = first.where(F.col("page").isNotNull()).select(*keys, "page")
+    counted = rows.join(few.select(*keys), keys, "left_semi").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pages"))
+    return sure.unionByName(few.join(counted.where(F.col("n_pages") >= pages).select(*keys), keys))

@@ -123,7 +123,12 @@ def truncated(docs: DataFrame, total: int, least: int = 3, rarely: float = 0.01)
         plain = F.when(text.contains("]("), F.regexp_replace(text, r"\]\([^)\n]*\)", "]")).otherwise(text)
         return F.split(F.regexp_replace(F.lower(plain), "[0-9]+", "9"), _BREAKS)
 
-    raw = docs.where(F.col("body").isNotNull()).select("hit_id", F.btrim("body", F.lit(_BLANKS)).alias("body"))
+    # Most bodies end in no white space and need no trimming, which walks the whole text.
+    blank = F.lit(False)
+    for c in _BLANKS:
+        blank |= F.endswith("body", F.lit(c))
+    raw = docs.where(F.col("body").isNotNull())
+    raw = raw.select("hit_id", F.when(blank, F.rtrim("body", F.lit(_BLANKS))).otherwise(F.col("body")).alias("body"))
     copies = F.xxhash64(F.lower(F.translate("body", _BLANKS, "")))
     bodies = raw.groupBy(copies.alias("copies")).agg(F.min("body").alias("body"))
     # The last sentence of a line keeps the line end.
