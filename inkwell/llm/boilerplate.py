@@ -112,6 +112,10 @@ def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return (keys * np.uint64(0xC4CEB9FE1A85EC53)).view(np.int64), owner[at]
 
 
+#: Tags as a path has them: sites write one heading or list in several ways.
+_KINDS = {"b": "h", "la": "li", "ni": "li", "a": "li", "q": "p"}
+
+
 class Line:
     """One line that is not blank: its number, tag, text without marks, and what is known of it."""
 
@@ -129,7 +133,7 @@ class Line:
         if "](" in key or "://" in key:
             key = _ADDRESS.sub("", _TARGET.sub("]", key))
         key = _DIGITS.sub("9", "".join(key.split()))
-        return xxhash.xxh64_intdigest(f"{self.tag}{'.' if self.ended else ' '}{key}") - (1 << 63)
+        return xxhash.xxh64_intdigest(f"{_KINDS.get(self.tag, self.tag)}{'.' if self.ended else ' '}{key}") - (1 << 63)
 
 
 def _weight(text: str) -> float:
@@ -213,7 +217,7 @@ _LISTS = frozenset(("li", "la", "ni", "a", "m", "q"))
 #: Tags of what belongs to the article wherever it stands: tables, code, references.
 _ARTICLE = frozenset(("t", "c", "r"))
 # What a line is, in bits.
-_ENDED, _DENSE, _BLANK, _TITLED, _CLOSES, _TRAILS, _TORN, _HEADS, _FIRST = (1 << k for k in range(9))
+_ENDED, _DENSE, _BLANK, _TITLED, _CLOSES, _TRAILS, _TORN, _HEADS, _FIRST, _LAST = (1 << k for k in range(10))
 _TAGS = ("h", "b", "li", "la", "ni", "a", "m", "q", "r", "t", "c", "p")
 _TAG_NUMBER = {tag: k for k, tag in enumerate(_TAGS)}
 
@@ -229,7 +233,7 @@ def _bits(lines: list[Line], k: int, name: str) -> int:
     said = (line.ended and _ENDED) | (line.dense and _DENSE) | (line.blank_before and _BLANK)
     said |= (bool(name) and _folded(line.text) == name and _TITLED) | (bool(_CLOSING.match(line.text)) and _CLOSES)
     said |= (bool(_TRAIL.search(line.text)) and _TRAILS) | (bool(_CUT.search(line.text)) and _TORN)
-    return int(said | (_heads_a_list(lines, k) and _HEADS))
+    return int(said | (_heads_a_list(lines, k) and _HEADS) | (k == len(lines) - 1 and _LAST))
 
 
 def containers_of(lines: list[Line]) -> list[list[int]]:
@@ -268,10 +272,10 @@ class _Reading:
         self.counts: list[tuple[np.ndarray, ...]] = []
         self.asked: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
 
-    def add(self, containers: list[tuple[int, list[Line]]]) -> None:
-        """Counts the windows of containers; those that are not dense but hold ended lines ask for theirs."""
-        owners = [(k, x.dense, x.ended) for k, (_, lines) in enumerate(containers) for x in lines]
-        keys, line = windows_of([x.text for _, lines in containers for x in lines])
+    def add(self, containers: list[tuple[int, list[Line], bool]]) -> None:
+        """Counts the windows of containers; those that are not dense but hold ended lines, or a page's last, ask for theirs."""
+        owners = [(k, x.dense, x.ended or last) for k, (_, lines, last) in enumerate(containers) for x in lines]
+        keys, line = windows_of([x.text for _, lines, _ in containers for x in lines])
         if not len(keys):
             return
         container, dense, ended = (np.array(x) for x in zip(*owners, strict=True))
@@ -342,7 +346,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         named_so = xxhash.xxh64_intdigest(np.array([paths[k] for k in places], np.int64).tobytes()) - (1 << 63)
                     for k in places:
                         own[k] = named_so
-                    told.append((named_so, [lines[k] for k in places]))
+                    told.append((named_so, [lines[k] for k in places], places[-1] == len(lines) - 1))
                 named.append(bool(name))
                 offsets.append(offsets[-1] + len(lines))
                 flat["numbers"] += [x.no for x in lines]
@@ -487,8 +491,9 @@ def main_body(
     each = read.select("hit_id", "host", "page", F.explode_outer(lines).alias("x")).where(F.col("x").isNotNull()).select(
         "hit_id", "host", "page", F.col("x.paths").alias("path"), F.col("x.containers").alias("container"), F.col("x.bits").alias("said")
     )
-    # A path votes once a page, with the container it stands in first.
-    first = each.where(F.col("said").bitwiseAND(_FIRST) != 0)
+    ended = F.col("said").bitwiseAND(_ENDED) != 0
+    # A path votes once a page, with the container it stands in first; what does not end is no running text.
+    first = each.where(F.col("said").bitwiseAND(_FIRST) != 0).withColumn("container", F.when(ended, F.col("container")))
     bit = F.when(F.col("page").isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("page", F.lit(63)).cast("int")))
     heads = (F.col("said").bitwiseAND(_HEADS) != 0).cast("int")
     votes = first.groupBy("host", "path", "container").agg(
@@ -524,7 +529,7 @@ def main_body(
     )
     # Each page meets the scores of its own containers; those whose line wins everywhere need none.
     known = spark.createDataFrame(pd.DataFrame({"path": np.concatenate(common[:2])}), "path bigint")
-    open_ = each.join(F.broadcast(known), "path", "left_anti").where(F.col("said").bitwiseAND(_ENDED) != 0)
+    open_ = each.join(F.broadcast(known), "path", "left_anti").where(F.col("said").bitwiseAND(_ENDED | _LAST) != 0)
     sought = open_.select("hit_id", "container").distinct()
     held = sought.groupBy("container").agg(F.count(F.lit(1)).alias("n")).join(scores, "container")
     told = lookup_join(sought, held, ["container"], "n", total, "hit_id").where(F.col("score").isNotNull())

@@ -108,6 +108,28 @@ def test_line_tags():
     assert tags == ["h", "b", "li", "la", "ni", "a", "m", "q", "r", "t", "c", "c", "c", "p", "c", "c"]
 
 
+def test_many_other_windows_change_nothing(spark):
+    """Pages are judged alike however many windows the rest of the corpus has."""
+    rng = random.Random(8)
+    rows = [doc(k, page(k, f"h{k % 3}"), url=f"http://h{k % 3}.test/{k}", site=f"h{k % 3}") for k in range(60)]
+    far = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(40)) for _ in range(4000)]
+    rows += [doc(1000 + k, "。".join(far[k * 10 : k * 10 + 10]) + "。", url=f"http://o.test/{k}", site=f"o{k % 9}") for k in range(400)]
+    got = collections.defaultdict(set)
+    for r in boilerplate.main_body(spark.createDataFrame(rows, DOCS), len(rows)).collect():
+        got[r.hit_id].add(r.line_no)
+    assert all(got[k] == {1, 4, 6, 7, 8, 10} for k in range(60)) and not any(got[1000 + k] for k in range(400))
+
+
+def test_containers_and_windows():
+    lines = boilerplate.lines_of("p one\np two\n- a\n- b\n\n- c\n1 d\n# h")
+    assert boilerplate.containers_of(lines) == [[0], [1], [2, 3], [4], [5], [6]]
+    paths = [x.path for x in boilerplate.lines_of("# Most read 5\n**most  read 17**\nmost read 5\nMost read 5.")]
+    assert paths[0] == paths[1] and len(set(paths)) == 3
+    keys, owner = boilerplate.windows_of(["the cat sat on the mat today", "The  cat\tsat on the mat", "", "今天天气很好"])
+    first = set(keys[owner == 0].tolist())
+    assert set(keys[owner == 1].tolist()) <= first and len(first) == 4 and (owner == 3).sum() == 2
+
+
 # Problem 3
 
 
