@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from datetime import UTC, date, datetime, timedelta
 from functools import lru_cache
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.urls import strip
 from inkwell.operators.skew import lookup_join
-from inkwell.session import shared_dir
+from inkwell.session import materialize, shared_dir
 
 #: Part of the dictionary's path: entries of another version are not read.
 VERSION = 1
@@ -253,16 +254,21 @@ def refresh_dictionary(keys: DataFrame, path: str) -> DataFrame:
 
     ``keys`` has distinct ``raw``, ``tz`` and ``date_order`` without nulls.
     What is parsed is appended; a run that breaks off leaves no part behind
-    that is read later. Empty keys leave the dictionary as it is.
+    that is read later. Two runs at once may append the same keys: they are
+    read once, as equal keys have equal entries. Empty keys leave the
+    dictionary as it is.
     """
     spark = keys.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    fresh = keys
-    if there:
-        fresh = keys.join(spark.read.schema(_ENTRY).parquet(path).select(*_KEY), _KEY, "left_anti")
-    fresh.mapInPandas(_parsed, _ENTRY).write.mode("append").parquet(path)
-    return spark.read.schema(_ENTRY).parquet(path)
+
+    def kept() -> DataFrame:
+        return spark.read.schema(_ENTRY).option("recursiveFileLookup", True).parquet(path)
+
+    fresh = keys.join(kept().select(*_KEY), _KEY, "left_anti") if there else keys
+    # Each run has a folder of its own, so that no two commit in one.
+    fresh.mapInPandas(_parsed, _ENTRY).write.parquet(f"{path}/run={uuid.uuid4().hex}")
+    return kept().dropDuplicates(_KEY)
 
 
 def _day_us(moment: Column, tz: Column, value: Column, days: Column) -> Column:
@@ -299,12 +305,11 @@ def normalize_instants(
     how many rows there are. Null and blank values, unknown notations,
     impossible dates and an empty table give no row; repeated rows give one
     each. ``dictionary`` is the folder of the kept dictionary, by default one
-    of this application in the shared folder.
+    in the shared folder, which all applications with that folder extend.
     """
     spark = rows.sparkSession
     if dictionary is None:
-        app = spark.sparkContext.applicationId
-        dictionary = os.path.join(shared_dir(spark), f"inkwell-instants-v{VERSION}-{app}")
+        dictionary = os.path.join(shared_dir(spark), f"inkwell-instants-v{VERSION}")
     clock = sites.select(F.col("site").alias("_site"), "tz_name", "date_order").dropDuplicates(["_site"])
     base = rows.select(F.col(id_col).alias("_id"), strip(raw).alias("raw"), site.alias("_site"), moment.alias("_moment"))
     base = base.where(F.col("raw").rlike("[0-9]") | F.col("raw").rlike("^(?i:刚刚|刚才|just now|now|今天|今日|today|昨天|昨日|yesterday|前天|前日)"))
@@ -315,7 +320,7 @@ def normalize_instants(
         F.coalesce("tz_name", F.lit("")).alias("tz"),
         F.coalesce("date_order", F.lit("")).alias("date_order"),
     )
-    keys = base.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    keys = materialize(base.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_n")), "instant-keys")
     entries = refresh_dictionary(keys.select(*_KEY), dictionary)
     known = keys.join(entries.where("kind <> 'none'"), _KEY)
     got = lookup_join(base, known, _KEY, "_n", total, "_id").where(F.col("kind").isNotNull())

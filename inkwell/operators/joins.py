@@ -50,9 +50,29 @@ def outside_spans(hits: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return got.where(~F.coalesce(inside, F.lit(False))).drop("_spans")
 
 
-def longest_run(df: DataFrame, keys: list[str], order: str, flag: Column) -> DataFrame:
-    """``keys, run_start, run_length`` of the runs of neighbouring rows whose flag holds."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    marked = df.withColumn("_f", flag).withColumn("_g", F.row_number().over(w) - F.sum(F.col("_f").cast("int")).over(w))
-    runs = marked.where("_f").groupBy(*keys, "_g").agg(F.min(order).alias("run_start"), F.count(F.lit(1)).alias("run_length"))
-    return runs.drop("_g")
+def longest_run(df: DataFrame, keys: list[str], order: str, flag: Column, block: int = 100_000) -> DataFrame:
+    """``keys, run_start, run_length`` of the runs of neighbouring rows whose flag holds.
+
+    ``order`` is a number, unique within ``keys``; a null flag does not hold.
+    Runs are found in blocks of its values, so that a key with a large part of
+    all rows is many tasks; those that reach a block's edge are then joined
+    over the blocks, of which there are few.
+    """
+    cut = df.select(*keys, F.col(order).alias("_o"), F.coalesce(flag, F.lit(False)).alias("_f"), F.floor(F.col(order) / F.lit(block)).alias("_b"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_o")
+    placed = cut.withColumn("_k", F.row_number().over(w)).withColumn("_g", F.col("_k") - F.sum(F.col("_f").cast("int")).over(w))
+    placed = placed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b")))
+    runs = placed.groupBy(*keys, "_b", "_n", F.when(F.col("_f"), F.col("_g")).alias("_g")).agg(
+        F.min("_o").alias("start"), F.count(F.lit(1)).alias("size"), (F.min("_k") == 1).alias("head"), (F.max("_k") == F.col("_n")).alias("tail")
+    )
+    held = F.col("_g").isNotNull()
+    inner = runs.where(held & ~F.col("head") & ~F.col("tail")).select(*keys, F.col("start").alias("run_start"), F.col("size").alias("run_length"))
+    # Each block's first and last run; a block without any breaks what goes on over it.
+    piece = F.when(held & (F.col("head") | F.col("tail")), F.struct("start", "size", "head", "tail"))
+    edges = runs.groupBy(*keys, "_b").agg(F.array_sort(F.array_compact(F.collect_list(piece))).alias("p"), F.max(held & F.col("tail")).alias("open"))
+    edges = edges.withColumn("_before", F.lag("open").over(Window.partitionBy(*keys).orderBy("_b")))
+    parts = edges.select(*keys, "_before", F.explode("p").alias("p"))
+    new = (~(F.col("p")["head"] & F.coalesce("_before", F.lit(False)))).cast("int")
+    chained = parts.withColumn("_c", F.sum(new).over(Window.partitionBy(*keys).orderBy(F.col("p")["start"])))
+    joined = chained.groupBy(*keys, "_c").agg(F.min(F.col("p")["start"]).alias("run_start"), F.sum(F.col("p")["size"]).alias("run_length")).drop("_c")
+    return inner.unionByName(joined)

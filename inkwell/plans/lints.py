@@ -117,17 +117,34 @@ def _recorded(spark: SparkSession, d: str, source: str) -> DataFrame:
     return docs.groupBy("query_id").agg(F.to_json(body).alias("raw"))
 
 
-@query("map_first_source")
+_PLACE = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, hit_id) AS INTEGER)"
+_EXCERPTS = "coalesce(array_to_string(list_filter(string_split(body, chr(10)), lambda x: x <> ''), chr(10)), '')"
+
+
+@query(
+    "map_first_source",
+    f"""SELECT query_id, {_PLACE} AS rank, coalesce(url, '') AS url, coalesce(title, '') AS title, md5(coalesce(body, '')) AS body_md5, publish,
+    CASE WHEN authority BETWEEN 1 AND 4 THEN authority END AS authority FROM docs WHERE source = 'doubao'""",
+)
 def _first(spark: SparkSession, d: str) -> DataFrame:
     return A.map_first(_recorded(spark, d, "doubao")).select("query_id", "rank", "url", "title", F.md5("body").alias("body_md5"), "publish", "authority")
 
 
-@query("map_second_source")
+@query(
+    "map_second_source",
+    f"""SELECT query_id, {_PLACE} AS rank, coalesce(url, '') AS url, coalesce(title, '') AS title, md5({_EXCERPTS}) AS body_md5, publish FROM docs WHERE source = 'parallel'""",
+)
 def _second(spark: SparkSession, d: str) -> DataFrame:
     return A.map_second(_recorded(spark, d, "parallel")).select("query_id", "rank", "url", "title", F.md5("body").alias("body_md5"), "publish")
 
 
-@query("extract_pages")
+@query(
+    "extract_pages",
+    f"""WITH p AS (SELECT query_id, {_PLACE} AS place, url, title, publish, {_EXCERPTS} AS body FROM docs WHERE source = 'parallel'),
+    n AS (SELECT query_id, least(count(*), 20) AS n FROM p GROUP BY query_id)
+    SELECT p.query_id, place, url, title, publish, substr(body, 1, greatest(CAST(floor(12000 / n) AS INTEGER), 500)) AS content
+    FROM p JOIN n ON p.query_id IS NOT DISTINCT FROM n.query_id WHERE place <= 20""",
+)
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return A.extract_pages(_recorded(spark, d, "parallel"), 12000)
 
@@ -138,3 +155,41 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 )
 def _warnings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_calls").select("call_id", F.explode("warnings").alias("warning"))
+
+
+@query(
+    "call_errors",
+    "SELECT call_id AS query_id, CASE WHEN error IS NOT NULL THEN regexp_replace(error, '^([^ ]+) ?(.*)$', '\\1: \\2') END AS error FROM source_calls",
+)
+def _call_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Errors as the first source would report them, read back from its response."""
+    parts = F.split("error", " ", 2)
+    told = F.struct(F.get(parts, F.lit(0)).alias("Code"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("Message"))
+    meta = F.struct(F.when(F.col("error").isNotNull(), told).alias("Error"))
+    raw = F.to_json(F.struct(meta.alias("ResponseMetadata"), F.struct(F.lit("0").alias("ErrorCode")).alias("Result")))
+    calls = table(spark, d, "source_calls").select(F.col("call_id").alias("query_id"), raw.alias("raw"))
+    return A.source_errors(calls)
+
+
+@query(
+    "response_warnings",
+    "SELECT query_id, unnest(warnings) AS warning FROM source_calls WHERE source = 'parallel' UNION ALL SELECT query_id, 'failed ' || error FROM source_calls WHERE source = 'parallel' AND error IS NOT NULL",
+)
+def _response_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Warnings and failed addresses of the second source, read back from its responses."""
+    failed = F.when(F.col("error").isNotNull(), F.array(F.struct(F.col("error").alias("url"), F.lit("failed").alias("error_type"))))
+    calls = table(spark, d, "source_calls").where("source = 'parallel'")
+    return A.source_warnings(calls.select("query_id", F.to_json(F.struct("warnings", failed.alias("errors"))).alias("raw")))
+
+
+@query(
+    "first_requests",
+    """SELECT id, substr(trim(q), 1, 100) AS query, CAST(greatest(least(len(checks) * 20, 50), 1) AS INTEGER) AS count,
+    CASE WHEN len(pq) > 0 THEN array_to_string(pq[1:20], '|') END AS sites FROM questions WHERE q IS NOT NULL""",
+)
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of the first source, read back from their JSON."""
+    none = F.array().cast("array<string>")
+    raw = A.build_request(F.col("q"), (F.size("checks") * 20).cast("int"), F.coalesce("pq", none), none)
+    got = F.from_json(raw, "struct<query:string,count:int,sites:string>")
+    return table(spark, d, "questions").where("q is not null").select("id", got.alias("r")).select("id", "r.query", "r.count", "r.sites")

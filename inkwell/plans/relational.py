@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.operators.evaluate import ab_pairs, invalid_labels, score_noise
 from inkwell.operators.joins import asof_lookup, longest_run, not_skipped, outside_spans
-from inkwell.operators.rules import genre_skips, rule_ids
-from inkwell.operators.store import cache_key, fresh_entries, keep_newest
+from inkwell.operators.rules import builtin_rules, genre_skips, rule_ids
+from inkwell.operators.store import cache_key, fresh_entries, keep_newest, put, session_of
 from inkwell.plans.registry import query
 from inkwell.session import table
 
@@ -79,17 +79,35 @@ def _short(spark: SparkSession, d: str) -> DataFrame:
     return calls.where("source = 'parallel'").select("query_id", "call_id").join(enough, "query_id", "left_anti")
 
 
-@query("genre_skip_anti")
+def _values(rows: list[tuple[str, ...]]) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
+
+
+_RULES = builtin_rules()
+_EVERY = [(g, r) for g in _RULES["genres"] for part in ("lexicon", "regex_rules", "metrics", "manual_rules") for r in _RULES[part]]
+_SKIPS = [(g, s) for g, v in _RULES["genres"].items() for s in v["skip"]]
+
+
+@query(
+    "genre_skip_anti",
+    f"""WITH r(genre, rule) AS ({_values(_EVERY)}), s(genre, skip) AS ({_values(_SKIPS)})
+    SELECT genre, rule FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.genre = r.genre AND (r.rule = s.skip OR starts_with(r.rule, s.skip || '_')))""",
+)
 def _skip(spark: SparkSession, d: str) -> DataFrame:
     return not_skipped(rule_ids(spark), genre_skips(spark), "rule", "skip", "genre")
 
 
+def _offsets(pattern: str) -> str:
+    """SQL of ``doc_id, a, b``: the places of a pattern in the texts."""
+    return f"""SELECT doc_id, a, a + length(m[i]) AS b FROM (SELECT doc_id, m, i, list_sum(list_transform(g[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM documents)))"""
+
+
 @query(
     "interval_containment_anti",
-    r"""WITH n AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9]{2}') AS m FROM documents)
-    SELECT doc_id, CAST(len(m) AS BIGINT) - CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'),
-      lambda x: 4)), 0) AS BIGINT) AS outside FROM n WHERE len(m) > 0 AND text NOT SIMILAR TO '(?s).*[0-9][0-9]{4}-[0-9]{2}-[0-9]{2}.*|(?s).*[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9].*'
-      AND len(m) > len(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) * 4""",
+    f"""WITH h AS ({_offsets("[0-9]{2}")}), s AS ({_offsets("[0-9]{4}-[0-9]{2}-[0-9]{2}")})
+    SELECT doc_id, count(*) AS outside FROM h WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = h.doc_id AND s.a <= h.a AND h.b <= s.b) GROUP BY doc_id""",
 )
 def _interval(spark: SparkSession, d: str) -> DataFrame:
     from inkwell.functions.spans import find_spans
@@ -134,11 +152,12 @@ def _except(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ordered_distinct",
-    "SELECT id, array_to_string(list_sort(list_distinct(list_concat(pq, checks))), ',') AS parts, CAST(len(list_distinct(list_concat(pq, checks))) AS BIGINT) AS n FROM questions",
+    """WITH p AS (SELECT id, list_concat(pq, checks) AS l FROM questions), o AS (SELECT id, l, list_filter(range(1, len(l) + 1), lambda k: list_position(l, l[k]) = k) AS first FROM p)
+    SELECT id, array_to_string(list_transform(first, lambda k: l[k]), ',') AS parts, CAST(len(first) AS BIGINT) AS n FROM o""",
 )
 def _distinct(spark: SparkSession, d: str) -> DataFrame:
     parts = F.array_distinct(F.concat("pq", "checks"))
-    return table(spark, d, "questions").select("id", F.array_join(F.array_sort(parts), ",").alias("parts"), F.size(parts).cast("bigint").alias("n"))
+    return table(spark, d, "questions").select("id", F.array_join(parts, ",").alias("parts"), F.size(parts).cast("bigint").alias("n"))
 
 
 @query(
@@ -152,10 +171,14 @@ def _ttl(spark: SparkSession, d: str) -> DataFrame:
     return fresh_entries(calls, "called_at", now, 15 * 86400).select("call_id")
 
 
-@query("cache_keys")
+@query(
+    "cache_keys",
+    r"""SELECT substr(sha256('{"source":"' || source || '","request":"' || replace(replace(request, '\', '\\'), '"', '\"') || '"}'), 1, 32) AS key,
+    count(*) AS calls, max(epoch_us(called_at)) AS written_us FROM source_calls GROUP BY ALL""",
+)
 def _keys(spark: SparkSession, d: str) -> DataFrame:
     calls = table(spark, d, "source_calls")
-    return calls.groupBy(cache_key(F.col("source"), F.col("request")).alias("key")).agg(F.count(F.lit(1)).alias("calls"), F.max("called_at").alias("written_at"))
+    return calls.groupBy(cache_key(F.col("source"), F.col("request")).alias("key")).agg(F.count(F.lit(1)).alias("calls"), F.max(F.unix_micros("called_at")).alias("written_us"))
 
 
 @query(
@@ -259,3 +282,24 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     o = o.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return o.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(
+    "cache_put",
+    """SELECT query_id, source, max(epoch_us(called_at)) AS called_us, arg_max(call_id, (called_at, call_id)) AS call_id FROM source_calls GROUP BY query_id, source""",
+)
+def _put(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of the first half of all calls, with the other half put in."""
+    calls = table(spark, d, "source_calls").select("query_id", "source", "called_at", "call_id")
+    calls = calls.withColumn("key", F.struct("query_id", "source"))
+    even = F.col("call_id") % 2 == 0
+    return put(calls.where(even), calls.where(~even), "key", "called_at").select("query_id", "source", F.unix_micros("called_at").alias("called_us"), "call_id")
+
+
+@query(
+    "call_sessions",
+    "SELECT call_id, CASE WHEN error IS NULL AND NOT coalesce(cached, false) THEN 'new-' || call_id WHEN cached THEN session_id END AS session FROM source_calls",
+)
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    made = F.concat(F.lit("new-"), F.col("call_id").cast("string"))
+    return table(spark, d, "source_calls").select("call_id", session_of(F.col("error").isNull(), F.col("cached"), made, F.col("session_id")).alias("session"))

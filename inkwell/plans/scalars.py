@@ -35,7 +35,11 @@ def _site(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "docs").select("hit_id", site_of(F.col("site"), F.col("url")).alias("site"))
 
 
-@query("slugify")
+@query(
+    "slugify",
+    rf"""SELECT id, CASE WHEN coalesce(s, '') = '' THEN 'query' ELSE s END AS slug FROM (SELECT id,
+    substr(regexp_replace(regexp_replace({strip_sql('q')}, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS s FROM questions)""",
+)
 def _slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "questions").select("id", T.slugify(F.col("q")).alias("slug"))
 

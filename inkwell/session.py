@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,11 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Parts written by ``materialize`` and not released yet.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
-    Read from ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is set, once per session.
+    Read from ``spark.checkpoint.dir``. Where that is unset, a folder set in
+    the context before is taken; else, and only if all runs on one machine
+    (master ``local``), a temporary folder is made, which goes when Python
+    ends. A cluster without such a folder is refused: each executor would
+    write its part to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -28,8 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held
-    own = "file://" + tempfile.mkdtemp(prefix="inkwell-shared-")
-    spark.sparkContext.setCheckpointDir(own)
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="inkwell-shared-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir("file://" + own)
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -37,9 +49,21 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     Cuts the lineage; the files survive the loss of any executor. Used where a
-    costly intermediate result is read more than once.
+    costly intermediate result is read more than once. ``release`` removes
+    what was written, once the results that read it have been taken.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"inkwell-{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all that ``materialize`` wrote since the last call, and tells how much; results not taken yet are lost."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
