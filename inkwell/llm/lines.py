@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.urls import SPACE, canonical_url, site_of, strip
+from inkwell.operators.skew import lookup_join
 from inkwell.session import materialize
 
 
@@ -44,19 +45,28 @@ def sited(docs: DataFrame, sites: DataFrame) -> DataFrame:
     return rows.join(known, "_site").withColumnRenamed("_site", "site")
 
 
-def _supported(level: DataFrame, keys: list[str], exact: DataFrame, sizes: DataFrame, share: float, pages: int) -> DataFrame:
+def numbered_lines(docs: DataFrame, sites: DataFrame) -> DataFrame:
+    """``hit_id, site, page, ids`` of the rows of known sites: the identifier of each line, null for one without letters.
+
+    Written once; everything after reads no text again. A null body has no ``ids``.
+    """
+    rows = sited(docs, sites)
+    return materialize(rows.select("hit_id", "site", "page", F.transform(F.split("body", "\n"), line_id).alias("ids")), "line-ids")
+
+
+def _supported(level: DataFrame, keys: list[str], exact: DataFrame, share: float, pages: int) -> DataFrame:
     """Those of ``level`` that enough rows and pages hold.
 
-    ``level`` has ``rows`` and ``bits``, 63 bits set by page: as many bits, at
-    least as many pages. Only where few bits are set are the pages of
-    ``exact`` counted one by one.
+    ``level`` has ``rows``, ``site_rows`` and ``bits``, 63 bits set by page: as
+    many bits, at least as many pages. Only where few bits are set are the
+    pages of ``exact`` counted one by one.
     """
-    often = level.join(F.broadcast(sizes), "site").where(F.col("rows") >= F.col("site_rows") * F.lit(share) - F.lit(1e-9))
+    often = level.where(F.col("rows") >= F.col("site_rows") * F.lit(share) - F.lit(1e-9))
     sure = often.where(F.bit_count("bits") >= pages)
     few = often.where(F.bit_count("bits") < pages)
     counted = (
-        exact.join(F.broadcast(few.select(*keys)), keys, "left_semi")
-        .where(F.col("page").isNotNull())
+        exact.where(F.col("page").isNotNull())
+        .join(few.select(*keys), keys, "left_semi")
         .groupBy(*keys, "page")
         .agg(F.lit(1).alias("one"))
         .groupBy(*keys)
@@ -100,6 +110,7 @@ def prefix_span(
     pages: int = 5,
     least_rows: int = 20,
     longest: int | None = None,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """``site, length, items, rows``: the frequent sequences of lines of each site.
 
@@ -108,29 +119,31 @@ def prefix_span(
     ``pages`` different pages with an address. Sites not in ``sites`` or with
     fewer than ``least_rows`` rows have none. ``items`` are line identifiers.
     Sequences grow until none is frequent, or up to ``longest`` lines.
+    ``lines`` is ``numbered_lines`` of the same tables, if at hand.
 
     A null body has no lines but counts as a row of its site. A line of one
     document counts once. Frequent lines are few: at most 1/share times the
-    mean number of lines of a site's rows, for each of the sites given; that
-    bounds what is broadcast. Documents that agree in them are one pattern with
+    mean number of lines of a site's rows. Rows of sites that hold many meet the
+    site's lines where they are, others by key; nothing is broadcast that
+    grows with the number of sites. Documents that agree in them are one pattern with
     its rows; of each pattern's pages as many as ``pages`` suffice to tell
     whether some patterns have that many together. Lines that always come
     together have frequent sequences in each choice of them: the result may
     double with every such line, but is written as it grows.
     """
-    rows = sited(docs, sites)
+    rows = lines if lines is not None else numbered_lines(docs, sites)
     sizes = rows.groupBy("site").agg(F.count(F.lit(1)).alias("site_rows")).where(F.col("site_rows") >= least_rows)
     sizes = materialize(sizes, "site-rows")
+    total = sizes.agg(F.sum("site_rows").alias("n")).first()["n"] or 0
     bit = F.when(F.col("page").isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("page", F.lit(63)).cast("int"))).otherwise(
         F.lit(0).cast("bigint")
     )
-    ids = F.filter(F.transform(F.split("body", "\n"), line_id), lambda x: x.isNotNull())
-    sequences = rows.join(F.broadcast(sizes.select("site")), "site").where(F.col("body").isNotNull())
-    sequences = sequences.select("hit_id", "site", "page", bit.alias("bit"), ids.alias("ids"))
-
-    single = sequences.select("site", "page", "bit", F.explode(F.array_distinct("ids")).alias("item"))
-    level = single.groupBy("site", "item").agg(F.count(F.lit(1)).alias("rows"), F.bit_or("bit").alias("bits"))
-    level = _supported(level, ["site", "item"], single, sizes, share, pages)
+    sequences = rows.where(F.col("ids").isNotNull()).select(
+        "hit_id", "site", "page", bit.alias("bit"), F.filter("ids", lambda x: x.isNotNull()).alias("ids")
+    )
+    single = sequences.select("site", "page", "bit", F.explode_outer(F.array_distinct("ids")).alias("item")).where(F.col("item").isNotNull())
+    level = single.groupBy("site", "item").agg(F.count(F.lit(1)).alias("rows"), F.bit_or("bit").alias("bits")).join(sizes, "site")
+    level = _supported(level, ["site", "item"], single, share, pages)
     level = level.select("site", F.lit(1).alias("length"), F.array("item").alias("items"), "rows")
     level = materialize(level, "lines-1")
     if longest is not None and longest < 2:
@@ -139,19 +152,20 @@ def prefix_span(
     # Documents become patterns: the places of their lines among the frequent ones of the site.
     frequent = level.groupBy("site").agg(F.array_sort(F.collect_set(F.col("items")[0])).alias("known"))
     frequent = frequent.join(sizes, "site")
+    met = lookup_join(sequences, frequent, ["site"], "site_rows", total, "hit_id", twice=True).where(F.col("known").isNotNull())
     known = F.filter("ids", lambda x: F.array_contains("known", x))
     pattern = F.transform(known, lambda x: F.array_position("known", x).cast("int"))
-    each = sequences.join(F.broadcast(frequent), "site").select("site", "page", pattern.alias("pattern")).where(F.size("pattern") > 1)
+    each = met.select("site", "page", pattern.alias("pattern")).where(F.size("pattern") > 1)
     each = materialize(each.groupBy("site", "pattern", "page").agg(F.count(F.lit(1)).alias("rows")), "lines-patterns")
     place = F.row_number().over(Window.partitionBy("site", "pattern").orderBy("page"))
     held = each.where(F.col("page").isNotNull()).select("site", "pattern", "page", place.alias("place")).where(F.col("place") <= pages)
     held = held.groupBy("site", "pattern").agg(F.collect_list("page").alias("held"))
     patterns = each.groupBy("site", "pattern").agg(F.sum("rows").alias("rows")).join(held, ["site", "pattern"], "left")
     # One row per site and first line; a fixed number of partitions, as the work is in Python and not in the bytes.
-    firsts = patterns.select("site", F.explode(F.array_distinct("pattern")).alias("first"), F.struct("pattern", "rows", "held").alias("p"))
+    firsts = patterns.select("site", F.explode_outer(F.array_distinct("pattern")).alias("first"), F.struct("pattern", "rows", "held").alias("p"))
     firsts = firsts.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "site", "first")
     firsts = firsts.groupBy("site", "first").agg(F.collect_list("p").alias("patterns"))
-    firsts = firsts.join(F.broadcast(frequent.select("site", (F.col("site_rows") * F.lit(share) - F.lit(1e-9)).alias("least"))), "site")
+    firsts = firsts.join(frequent.select("site", (F.col("site_rows") * F.lit(share) - F.lit(1e-9)).alias("least")), "site")
 
     def run(batches):
         for b in batches:
@@ -162,32 +176,40 @@ def prefix_span(
                     places, rows = zip(*part, strict=True)
                     yield pd.DataFrame({"site": site, "places": places, "rows": rows})
 
-    longer = firsts.mapInPandas(run, "site string, places array<int>, rows bigint").join(F.broadcast(frequent.select("site", "known")), "site")
+    longer = firsts.mapInPandas(run, "site string, places array<int>, rows bigint").join(frequent.select("site", "known"), "site")
     longer = longer.select(
         "site", F.size("places").alias("length"), F.transform("places", lambda i: F.element_at("known", i)).alias("items"), "rows"
     )
     return level.unionByName(materialize(longer, "lines-longer"))
 
 
-def _with_repeated(docs: DataFrame, sites: DataFrame, sequences: DataFrame) -> DataFrame:
+def _with_repeated(rows: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Rows with ``ids``, and as ``known`` the lines of the frequent sequences of their site; rows of other sites fall away."""
+    rows = rows.where(F.col("ids").isNotNull())
     items = sequences.select("site", F.explode("items").alias("item")).groupBy("site").agg(F.collect_set("item").alias("known"))
-    return sited(docs, sites).join(F.broadcast(items), "site").where(F.col("body").isNotNull())
+    sizes = rows.groupBy("site").agg(F.count(F.lit(1)).alias("site_rows"))
+    total = sizes.agg(F.sum("site_rows").alias("n")).first()["n"] or 0
+    met = lookup_join(rows, items.join(sizes, "site"), ["site"], "site_rows", total, "hit_id", twice=True)
+    return met.where(F.col("known").isNotNull())
 
 
-def repeated_lines(docs: DataFrame, sites: DataFrame, sequences: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, sites: DataFrame, sequences: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """``hit_id, line_no`` of every line that occurs in a frequent sequence of its site."""
-    rows = _with_repeated(docs, sites, sequences)
-    lines = rows.select("hit_id", "known", F.posexplode(F.transform(F.split("body", "\n"), line_id)).alias("at", "item"))
-    hit = F.col("item").isNotNull() & F.array_contains("known", F.col("item"))
-    return lines.where(hit).select("hit_id", (F.col("at") + 1).cast("bigint").alias("line_no"))
+    rows = _with_repeated(lines if lines is not None else numbered_lines(docs, sites), sequences)
+    hits = F.filter(
+        F.transform("ids", lambda x, k: F.when(x.isNotNull() & F.array_contains("known", x), (k + 1).cast("bigint"))), lambda n: n.isNotNull()
+    )
+    return rows.select("hit_id", F.explode_outer(hits).alias("line_no")).where(F.col("line_no").isNotNull())
 
 
 def without_repeated(docs: DataFrame, sites: DataFrame, sequences: DataFrame) -> DataFrame:
     """``hit_id, body`` of every row, repeated lines removed; a null body stays null."""
-    rows = _with_repeated(docs, sites, sequences)
+    rows = sited(docs, sites).select("hit_id", "site", "body", F.transform(F.split("body", "\n"), line_id).alias("ids"))
 
-    def stays(line: Column) -> Column:
-        return ~F.coalesce(F.array_contains(F.col("known"), line_id(line)), F.lit(False))
+    def stays(pair: Column) -> Column:
+        return ~F.coalesce(F.array_contains(F.col("known"), pair["ids"]), F.lit(False))
 
-    cut = rows.select("hit_id", F.array_join(F.filter(F.split("body", "\n"), stays), "\n").alias("_cut"))
+    pairs = F.arrays_zip(F.split("body", "\n").alias("text"), F.col("ids"))
+    kept = F.transform(F.filter(pairs, stays), lambda p: p["text"])
+    cut = _with_repeated(rows, sequences).select("hit_id", F.array_join(kept, "\n").alias("_cut"))
     return docs.select("hit_id", "body").join(cut, "hit_id", "left").select("hit_id", F.coalesce("_cut", "body").alias("body"))

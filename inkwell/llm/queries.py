@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.urls import site_of
 from inkwell.llm.boilerplate import main_body
 from inkwell.llm.copies import collapse, find_copies
-from inkwell.llm.lines import prefix_span, repeated_lines, without_repeated
+from inkwell.llm.lines import numbered_lines, prefix_span, repeated_lines, without_repeated
 from inkwell.llm.mixing import mix, reached_shares
 from inkwell.llm.packing import fill_rates, pack
 from inkwell.llm.pii import find_pii, redact_pii
@@ -90,7 +90,8 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``hit_id, line_no`` of every line that its site repeats."""
     docs, sites = table(spark, sf_dir, "docs"), table(spark, sf_dir, "sites")
-    return repeated_lines(docs, sites, prefix_span(docs, sites))
+    lines = numbered_lines(docs, sites)
+    return repeated_lines(docs, sites, prefix_span(docs, sites, lines=lines), lines)
 
 
 @_query
