@@ -6,7 +6,8 @@ is included once more with that probability. The probabilities move through
 the null space of the constraints, which keeps the expected tokens and texts
 of the source as they are, until all but two are 0 or 1. Blocks of texts do
 this at the same time; what they leave meets again in fewer blocks, until one
-block a source is left and only two texts remain to be decided.
+block a source is left. There the flight ends with a dozen texts open, and the
+landing looks through all ways to decide them.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from inkwell.session import materialize
 
 #: Texts that one task moves at a time.
 BLOCK = 20_000
+#: Texts of a source that the landing decides together, in 2 ** LAST ways.
+LAST = 12
 _EPS = 1e-9
 
 
-def fly(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The flight phase: probabilities with the same sums of texts and tokens, all but two at most 0 or 1."""
+def fly(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, keep: int = 2) -> np.ndarray:
+    """The flight phase: probabilities with the same sums of texts and tokens, all but ``keep`` at most 0 or 1."""
     p = prob.astype(float).copy()
     t = size.astype(float)
     open_ = [int(k) for k in np.flatnonzero((p > _EPS) & (p < 1 - _EPS))]
@@ -33,7 +36,7 @@ def fly(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     draw = 0
     at = min(3, len(open_))
     held = open_[:at]
-    while len(held) == 3:
+    while len(held) == 3 and 3 + len(open_) - at > keep:
         a, b, c = held
         u = (t[b] - t[c], t[c] - t[a], t[a] - t[b])
         if u == (0.0, 0.0, 0.0):
@@ -60,12 +63,13 @@ def fly(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The landing phase: of the ways to decide the last texts, that which changes the tokens least."""
+    """The landing phase: of all ways to decide the last texts, that which changes the tokens least, then the texts."""
     p = prob.copy()
     rest = np.flatnonzero((p > 0) & (p < 1))
-    goal = float((p[rest] * size[rest]).sum())
-    ways = ((np.array([way >> k & 1 for k in range(len(rest))], float)) for way in range(1 << len(rest)))
-    p[rest] = min(ways, key=lambda w: (abs(float((w * size[rest]).sum()) - goal), float(w.sum())))
+    ways = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest)) & 1).astype(float)
+    tokens = np.abs((ways - p[rest]) @ size[rest].astype(float))
+    texts = np.abs((ways - p[rest]).sum(axis=1))
+    p[rest] = ways[np.lexsort((texts, np.round(tokens, 6)))[0]]
     return p
 
 
@@ -79,7 +83,7 @@ def _round(state: DataFrame, blocks: DataFrame, seed: int, final: bool) -> DataF
         block = block.sort_values(["row_key", "doc_id", "n_tokens"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, len(block), int(block["n_tokens"].sum())])
         size = block["n_tokens"].to_numpy(float)
-        p = fly(block["prob"].to_numpy(float), size, rng)
+        p = fly(block["prob"].to_numpy(float), size, rng, LAST if final else 2)
         return block.drop(columns="block").assign(prob=land(p, size) if final else p)
 
     dealt = state.join(blocks, "source").withColumn("block", F.pmod(F.xxhash64("row_key"), F.col("blocks"))).drop("blocks")
@@ -112,7 +116,7 @@ def mix(documents: DataFrame, targets: DataFrame, sizes: DataFrame | None = None
     """``doc_id, source, n_tokens, copies``: how often each text stands in the mix; 0 is left out.
 
     The mix is as large as the sources and their ``max_repeats`` allow; each
-    source's tokens are within two texts of its share. Texts of sources without
+    source's tokens are as near to its share as the last ``LAST`` texts allow. Texts of sources without
     a target or without a source, and texts without tokens, take no part. A
     repeated row takes part each time. Empty tables give no rows. The same
     texts give the same mix.

@@ -32,7 +32,7 @@ class Supplies:
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64).copy()
         self.size = len(counts)
-        self._sums: np.ndarray | None = None
+        self._index: tuple[np.ndarray, np.ndarray] | None = None
         self._age = 0
 
     def take(self, pattern: Counter, times: int) -> None:
@@ -40,22 +40,24 @@ class Supplies:
             self.left[length] -= k * times
         self._age += 1
 
-    def _pairs(self) -> np.ndarray:
-        """Which sums two lengths had when last indexed; supplies only shrink, so no sum is missing."""
-        if self._sums is None or self._age >= 64:
+    def _sums(self, fresh: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Which sums two and three lengths had when last indexed; supplies only shrink, so no sum is missing."""
+        if self._index is None or self._age >= 64 or (fresh and self._age):
             there = (self.left > 0).astype(np.float64)
-            n = 1 << (2 * self.size).bit_length()
+            n = 1 << (3 * self.size).bit_length()
             f = np.fft.rfft(there, n)
-            self._sums = np.fft.irfft(f * f, n)[: self.size] > 0.5
+            pairs = np.fft.irfft(f * f, n) > 0.5
+            triples = np.fft.irfft(np.fft.rfft(pairs.astype(np.float64), n) * f, n) > 0.5
+            self._index = pairs[: self.size], triples[: self.size]
             self._age = 0
-        return self._sums
+        return self._index
 
     def one(self, gap: int, used: Counter) -> list[int] | None:
         return [gap] if 0 < gap < self.size and self.left[gap] > used[gap] else None
 
     def two(self, gap: int, used: Counter) -> list[int] | None:
         """Two lengths that fill the gap exactly, those with the most supplies."""
-        if gap < 2 or not self._pairs()[gap]:
+        if gap < 2 or not self._sums()[0][gap]:
             return None
         low = np.arange(1, gap // 2 + 1)
         left = self.left.copy()
@@ -67,18 +69,32 @@ class Supplies:
         best = int(there.argmax())
         return [int(low[best]), int(gap - low[best])] if there[best] > 0 else None
 
-    def three(self, gap: int, used: Counter, tries: int = 24) -> list[int] | None:
+    def three(self, gap: int, used: Counter, misses: int = 16) -> list[int] | None:
+        """Three lengths that fill the gap exactly; all first lengths the index allows are tried.
+
+        After ``misses`` the index is made anew, so that those it still allows
+        fail by what the container holds already only.
+        """
         if gap < 3:
             return None
-        pairs = self._pairs()
-        first = np.arange(1, gap - 1)
-        likely = np.flatnonzero((self.left[first] > 0) & pairs[gap - first])
-        for k in likely[np.argsort(-self.left[first[likely]], kind="stable")][:tries]:
-            length = int(first[k])
-            if self.left[length] > used[length]:
+        tried: set[int] = set()
+        for fresh in (False, True):
+            pairs, triples = self._sums(fresh)
+            if not triples[gap]:
+                return None
+            first = np.arange(1, gap - 1)
+            likely = first[(self.left[first] > 0) & pairs[gap - first]]
+            for length in map(int, likely[np.argsort(-self.left[likely], kind="stable")]):
+                if length in tried or self.left[length] <= used[length]:
+                    continue
                 rest = self.two(gap - length, used + Counter([length]))
                 if rest:
                     return [length, *rest]
+                tried.add(length)
+                if not fresh and len(tried) >= misses:
+                    break
+            else:
+                return None
         return None
 
     def best_fit(self, gap: int, used: Counter) -> int | None:
@@ -109,7 +125,7 @@ def plan_containers(counts: np.ndarray) -> list[tuple[Counter, int]]:
         pattern, gap = Counter([top]), capacity - top
         while gap:
             exact = s.one(gap, pattern)
-            if not exact and gap <= 3 * top:
+            if not exact and gap <= 3 * top:  # no text is longer than the top: beyond, no three fill the gap
                 exact = s.two(gap, pattern) or s.three(gap, pattern)
             if exact:
                 pattern.update(exact)
