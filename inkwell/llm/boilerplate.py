@@ -535,7 +535,7 @@ def main_body(
     told = lookup_join(sought, held, ["container"], "n", total, "hit_id").where(F.col("score").isNotNull())
     told = told.groupBy("hit_id").agg(F.collect_list("container").alias("scored"), F.collect_list("score").alias("scores"))
     rows = read.select("hit_id", "host", "named", "numbers", "tags", "bits", "paths", "containers", *(["body"] if emit == "bodies" else []))
-    rows = lookup_join(rows.join(told, "hit_id", "left"), wins, ["host"], "host_rows", total, "hit_id", least=1000)
+    rows = lookup_join(rows, wins, ["host"], "host_rows", total, "hit_id", least=1000, twice=True).join(told, "hit_id", "left")
     schema = "hit_id bigint, line_no bigint" if emit == "lines" else "hit_id bigint, body string"
     return rows.mapInPandas(_extract(spark.sparkContext.broadcast(common), emit), schema)
 
