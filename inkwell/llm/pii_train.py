@@ -3,9 +3,11 @@
     python -m inkwell.llm.pii_train DOCUMENTS.parquet [...]
 
 The labels come from sentences that say what they hold: a bounded sample of
-texts (``SAMPLE``) is read, labelling rules mark the values in such sentences,
-and each value is replaced again and again by others of its type, found or
-made up, so that the network learns forms and surroundings and no values.
+texts (``SAMPLE``) is read whole, labelling rules mark the values in such
+sentences, and each value is replaced again and again by others of its type,
+found or made up, so that the network learns forms and surroundings and no
+values. Beside them stand made-up sentences of many other shapes
+(``PHRASES``), so that it does not learn the corpus' few sentences only.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ import pandas as pd
 
 from inkwell.llm.pii import FAMILY, FAMILY_TWO, TAGS, TYPES, VOCABULARY, WEIGHTS, Tagger, _CLASSES, encode
 
-#: No more than so many texts are read for labels.
-SAMPLE = 4000
+#: No more than so many texts are read for labels, and so many made-up passages stand beside them in each epoch.
+SAMPLE, MADE_UP = 4000, 2400
 EMBEDDING, HIDDEN, LENGTH = 20, 32, 160
 
 _HAN = "一-鿿"
@@ -77,6 +79,51 @@ _RULES = [
 ]
 
 
+#: Made-up sentences, Chinese and English; {n} name, {p} phone, {i} number of identity, {e} email, {a} address.
+PHRASES = (
+    "我叫{n}，在这里住了五年。", "我是{n}。", "你好，我是{n}，请问有人吗？", "这位是{n}女士。", "请找{n}先生签字。", "{n}老师下周请假。", "昨天{n}没有来。",
+    "主编{n}和记者{n}一起去了现场。", "{n}、{n}与{n}三人获奖。", "经理：{n}", "姓名：{n}\n电话：{p}\n邮箱：{e}\n住址：{a}", "联系人：{n}（{p}）", "有问题请打{p}找{n}。",
+    "电话{p}一直没人接。", "拨打 {p} 即可预约。", "传真：{p}；邮编：{d6}", "邮件发到{e}就行。", "我的邮箱是 {e}。", "抄送 {e} 和 {e}", "家住{a}。", "地址是{a}，离地铁不远。",
+    "请寄到{a}，{n}收。", "他搬到了{a}，电话没换：{p}。", "身份证 {i}", "证件号码为{i}，有效期十年。", "{n}的身份证号是{i}。", "订单 {d10} 已发货，快递员电话 {p}。", "会议号 {d9}，密码 {d6}。",
+    "共 {d4} 人报名，{d4} 人到场。", "2024-03-{d2} 之前交 {d4} 元。", "版本 {d1}.{d2}.{d3} 修好了。", "据统计，{d4}年有{d6}户。", "王者荣耀和李子柒的视频很火。", "张江高科技园区在浦东。",
+    "由{n}整理，{n}审定。", "{n}译，{n}改。", "{n}已到岗。", "{n}离开了公司。", "组长{n}已调走。", "负责人是{n}。", "李经理不在。", "赵总和孙主任都来了，钱老师没来。", "摄影：{n}  文：{n}",
+    "编号 {d11}，请核对。", "流水号：{d12}", "条码 {d13} 扫不出来。", "{n}去了北京。", "他叫{n}，她叫{n}。", "感谢{n}的帮助。", "{n}说：“可以。”", "“不行，”{n}回答。", "房东{n}（电话{p}）住在{a}。",
+    "My name is {n} and I live here.", "Ask {n} about it.", "Meet {n} on Monday.", "Find {n} on {p}.", "Tell {n} to call {p}.", "Thank {n} for it.", "The driver, {n}, gave ID {i}.", "Her son {n} wrote to {e}.",
+    "The Old Mill opened in {d4}.", "The Silver Hotel has {d3} rooms.", "Reading Week starts on Monday.", "See the Terms of Service and the Privacy Policy.", "A letter from {n} arrived.", "{n} says no.", "Ticket {d11} is closed.", "I am {n}.", "Dear Mr. {n},", "Dear Ms. {n}, thank you.", "Dr. {n} will see you now.", "Prof. {n} and Mrs. {n} spoke first.", "Hi {n},", "Regards,\n{n}",
+    "Signed: {n}\n{a}", "Yesterday {n} met {n} in town.", "{n} (manager) called back.", "Name: {n}\nPhone: {p}\nEmail: {e}\nAddress: {a}", "{n}, {a}", "{n}, {a}, {p}", "Mail it to {n}, {a}.",
+    "Call {p} today.", "Phone {p} or write to {e}.", "Tel: {p}", "Fax {p}, attention {n}", "My cell is {p}, my desk {p}.", "Write to {e}!", "Email: {e}", "You can reach me at {e} after six.",
+    "We moved to {a}.", "Our shop is at {a}, next to the bank.", "Pick it up from {a} on Friday.", "SSN {i}", "His ID number is {i}.", "Passport holder {n}, number {i}.", "NI number: {i}",
+    "Invoice {d10} of 2024-05-{d2} is open.", "Version {d1}.{d2}.{d3} fixes it.", "It costs {d4} dollars for {d2} people.", "Room {d3} on floor {d2} seats {d2}.", "The New Model beats the Old Guard.",
+    "Green River Bank grew by {d2}% in {d4}.", "Part no. {d4}-{d4} ships in {d2} days.", "Follow @{w} on the net.", "In March {d4} the North Sea was calm.",
+)
+
+
+def made_up(maker: Maker, count: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Passages of one to four of ``PHRASES`` with values made up, and where these are."""
+    rng = maker.rng
+    out = []
+    for _ in range(count):
+        text, spans = "", []
+        chosen = [rng.choice(PHRASES) for _ in range(rng.randint(1, 4))]
+        for phrase in chosen:
+            wide = bool(re.search(f"[{_HAN}]", phrase))
+            text += rng.choice(("", "", " ", "\n")) if text and wide else rng.choice((" ", "\n")) if text else ""
+            for piece in re.split(r"(\{\w+\})", phrase):
+                slot = piece[1:-1] if piece.startswith("{") else ""
+                if slot in _KINDS:
+                    kind = _KINDS[slot]
+                    value = getattr(maker, kind)(wide) if kind in ("name", "address") else getattr(maker, kind)()
+                    spans.append((len(text), len(text) + len(value), kind))
+                    text += value
+                else:
+                    text += maker.digits(int(slot[1:])) if slot.startswith("d") else maker.word().lower() if slot == "w" else piece
+        out.append((text, spans))
+    return out
+
+
+_KINDS = {"n": "name", "p": "phone", "i": "id_number", "e": "email", "a": "address"}
+
+
 def _compiled() -> list[re.Pattern]:
     slots = {"n": _NAME, "n2": _NAME.replace("(?P<name>", "(?P<name_2>"), "p": _PHONE, "i": _ID, "e": _EMAIL, "a": _ADDRESS}
     return [re.compile(re.sub(r"\{(n2|[npiea])\}", lambda m: slots[m[1]], r), re.M) for r in _RULES]
@@ -359,7 +406,7 @@ def train(texts: list[str], epochs: int = 14, batch: int = 96, seed: int = 7, sa
     rng, rules = random.Random(seed), _compiled()
     texts = [t for t in dict.fromkeys(texts) if t]
     rng.shuffle(texts)
-    marked = [(t[:6000], labelled(t[:6000], rules)) for t in texts[:SAMPLE]]
+    marked = [(t, labelled(t, rules)) for t in texts[:SAMPLE]]
     found: dict[str, list[str]] = {k: [] for k in TYPES}
     for text, spans in marked:
         for a, b, kind in spans:
@@ -372,6 +419,7 @@ def train(texts: list[str], epochs: int = 14, batch: int = 96, seed: int = 7, sa
     step = 0
     for epoch in range(epochs):
         data = [x for text, spans in marked for x in _cut(*renewed(text, spans, maker), rng, 0.12)]
+        data += [x for text, spans in made_up(maker, MADE_UP) for x in _cut(text, spans, rng, 1.0)]
         rng.shuffle(data)
         losses = []
         rate = 0.008 * (0.5 * (1 + np.cos(np.pi * epoch / epochs))) + 0.0004

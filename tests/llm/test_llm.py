@@ -177,6 +177,9 @@ def test_survivors(spark):
     assert got == [(1, 1, 1, "x:2,z:1"), (7, 7, 0, ""), (9, 9, 0, "")]
     best = {r.group_id: r for r in survivors(df, with_values=True).collect()}
     assert (best[1].body, best[1].publish, best[9].query_id) == ("　ab\n", "2026-01-01T09:00", None)
+    later = [rec(11, body="old", sources={"y": 1}), rec(12, body="trusted", sources={"x": 9}), rec(13, body=" ", sources={"x": 1}), rec(14, body="new", sources={"y": 1}, at=datetime(2026, 2, 1))]
+    own = spark.createDataFrame(later, MERGED)
+    assert [survivors(own, with_values=True, order=o).first().body for o in (("x",), ("y", "x"), ())] == ["trusted", "new", "new"]
     assert survivors(df.limit(0)).count() == 0
 
 
@@ -254,6 +257,24 @@ def test_plan_uses_every_text_once_and_wastes_little(seed):
     assert containers <= np.ceil(sizes.sum() / capacity) * 1.01 + 2
 
 
+def test_three_are_found_beyond_the_first_tries():
+    """Many first lengths whose pair the index holds but the supplies no longer do."""
+    counts = np.zeros(201, np.int64)
+    counts[[7, 60, 133]] = 1
+    supplies = packing.Supplies(counts)
+    supplies.left[10:50] = 40
+    supplies.left[150:190] = 1
+    supplies._sums()
+    supplies.take(collections.Counter({k: 1 for k in range(150, 190)}), 1)
+    supplies.left[10:50] = 3
+    supplies.left[10:50:2] = 0
+    got = supplies.three(200, collections.Counter())
+    assert got is None or sum(got) == 200
+    there = [k for k in range(201) for _ in range(int(supplies.left[k]))]
+    exact = any(sum(c) == 200 for c in itertools.combinations(sorted(there)[-60:], 3))
+    assert (got is not None) >= exact
+
+
 def test_packed_rows(spark):
     budgets = spark.createDataFrame([("p", 10), ("r", 4), ("none", None), ("zero", 0)], "profile string, capacity_tokens int")
     sizes = [(k, n) for k, n in enumerate([0, 1, 3, 4, 7, 10, 11, 25, 3, 3])] + [(3, 4), (7, 25)]
@@ -282,6 +303,8 @@ def test_flight_keeps_the_sums():
     p = packing.np.full(800, 0.37)
     out = mixing.fly(p, size, rng)
     assert ((out > 0) & (out < 1)).sum() <= 2
+    wide = mixing.fly(p, size, rng, 12)
+    assert 2 < ((wide > 0) & (wide < 1)).sum() <= 12 and abs((mixing.land(wide, size) * size).sum() - (p * size).sum()) < 5
     assert abs(out.sum() - p.sum()) < 1e-6 and abs((out * size).sum() - (p * size).sum()) < 1e-3
     landed = mixing.land(out, size)
     assert set(np.unique(landed)) <= {0.0, 1.0} and abs((landed * size).sum() - (p * size).sum()) <= 500
