@@ -63,6 +63,17 @@ def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, _classes()[codes]
 
 
+def _tanh(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``1 - 2 / (exp(2 x) + 1)``: numpy has a vector form of the exponential, not of the hyperbolic tangent."""
+    np.add(x, x, out=out)
+    np.clip(out, -40.0, 40.0, out=out)
+    np.exp(out, out=out)
+    out += 1.0
+    np.divide(-2.0, out, out=out)
+    out += 1.0
+    return out
+
+
 class Tagger:
     """Weights of the network, and its forward pass."""
 
@@ -95,13 +106,13 @@ class Tagger:
             z += by_class[classes[:, t]]
             np.matmul(h, u, out=product)
             z += product
-            np.tanh(z, out=z)
+            _tanh(z, z)
             gates = z[:, : 3 * size]
             gates *= 0.5
             gates += 0.5
             c *= gates[:, size : 2 * size]
             c += gates[:, :size] * z[:, 3 * size :]
-            h = np.tanh(c, out=out[t])
+            h = _tanh(c, out[t])
             h *= gates[:, 2 * size :]
             if direction == "b":  # past the end of a short text nothing is carried in
                 keep = mask[:, t, None]
@@ -115,25 +126,30 @@ class Tagger:
         return both @ self.w["wo"] + self.w["bo"]
 
     def decode(self, ids: np.ndarray, classes: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags of each window and by how much each beats being outside."""
+        """Best tags of each window and by how much each beats being outside.
+
+        Only the scores are kept on the way; where the best path came from is
+        asked along that path alone.
+        """
         e = self.emissions(ids, classes, mask)
         steps, n, _ = e.shape
         trans = self.w["trans"]
-        score = e[0] + self.w["start"]
-        back = np.empty((steps, n, TAGS), np.int8)
+        scores = np.empty_like(e)
+        scores[0] = e[0] + self.w["start"]
+        paths = np.empty((TAGS, n, TAGS), e.dtype)  # by the tag before
         for t in range(1, steps):
-            paths = score[:, :, None] + trans[None]
-            best = paths.argmax(axis=1)
-            back[t] = best
-            step = np.take_along_axis(paths, best[:, None, :], 1)[:, 0] + e[t]
-            score = np.where(mask[:, t, None], step, score)
+            np.add(scores[t - 1].T[:, :, None], trans[:, None, :], out=paths)
+            paths.max(axis=0, out=scores[t])
+            scores[t] += e[t]
+            over = np.flatnonzero(~mask[:, t])
+            scores[t, over] = scores[t - 1, over]
         tags = np.zeros((n, steps), np.int8)
-        last = score.argmax(axis=1)
-        rows = np.arange(n)
+        last = scores[-1].argmax(axis=1)
         for t in range(steps - 1, -1, -1):
             tags[:, t] = np.where(mask[:, t], last, 0)
             if t:
-                last = np.where(mask[:, t], back[t, rows, last], last)
+                before = (scores[t - 1] + trans.T[last]).argmax(axis=1)
+                last = np.where(mask[:, t], before, last)
         margin = np.take_along_axis(e.transpose(1, 0, 2), tags[:, :, None].astype(np.int64), 2)[:, :, 0] - e[:, :, 0].T
         return tags, margin
 
@@ -198,6 +214,8 @@ _ID = re.compile(
     r"(?<![0-9A-Za-z])(?:\d{6}[ \-－]?\d{8}[ \-－]?\d{3}[0-9Xx]|\d{3}([ \-－]?)\d{2}\1\d{4}"
     r"|[A-Z]{2}(?:[ \-]?\d{2}){3}[ \-]?[A-Z])(?![0-9A-Za-z])"
 )
+_USER = re.compile(r"(?:[A-Za-z0-9][A-Za-z0-9._+\-]*)?\Z")
+_ONE_NAME = re.compile(r"[^，。、；：,;:!?！？\n]*")
 _EDGE = " \t\r\n,，。;；:：、()（）[]【】\"“”'"
 _EXACT = {"email": _EMAIL, "phone": _PHONE, "id_number": _ID}
 
@@ -219,6 +237,8 @@ def _settled(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
         start += 1
     while end > start and text[end - 1] in _EDGE:
         end -= 1
+    if kind == "email":  # an address begins where its letters begin
+        start -= len(_USER.search(text, max(0, start - 64), start)[0])
     if kind in _EXACT:
         if _is_value(text[start:end], kind):
             return start, end, kind
@@ -238,6 +258,7 @@ def _settled(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
             a += 1
         return (a, b, kind) if _is_value(text[a:b], kind) else None
     if kind == "name":
+        end = start + len(_ONE_NAME.match(text, start, end)[0].rstrip())
         if end < len(text) and text[end] == "." and re.search(r"(?:^|\s)[A-Z]$", text[start:end]):
             end += 1
         if end - start < 2 or any(c.isdigit() for c in text[start:end]) or "@" in text[start:end]:

@@ -377,6 +377,50 @@ def test_tagger_on_held_out_sentences():
     assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.85, (right, wrong, missed)
 
 
+def _marked(parts):
+    text, spans = "", set()
+    for p in parts:
+        if isinstance(p, tuple):
+            spans.add((len(text), len(text) + len(p[1]), p[0]))
+        text += p[1] if isinstance(p, tuple) else p
+    return text, spans
+
+
+def test_tagger_outside_its_sentences():
+    """Sentences of other shapes than those it was trained on."""
+    cases = [
+        ["我叫", ("name", "张伟"), "，今年三十岁。"], ["Dear Mr. ", ("name", "John Smith"), ", thank you for writing."],
+        [("name", "Anna Keller"), ", ", ("address", "Hauptstraße 5, 10115 Berlin")], ["他叫", ("name", "王建国"), "，手机", ("phone", "13812345678"), "。"],
+        ["负责人", ("name", "刘晓燕"), "已离职，新的邮箱为", ("email", "hr2024@firma.example"), "。"], ["她住在", ("address", "海淀区中关村大街27号"), "，身份证", ("id_number", "110108199003074512"), "。"],
+        ["Please ask for ", ("name", "Peter van Dyke"), " at the front desk or dial ", ("phone", "(415) 555-0132"), "."], ["Best wishes, ", ("name", "Laura Bennett"), "\n", ("email", "laura.bennett@post.test")],
+        ["记者", ("name", "陈思远"), "从北京报道。"], ["Reach ", ("name", "Tom Harding"), " on ", ("phone", "+44 20 7946 0958"), "; he is out on Monday."], ["本文由", ("name", "周敏"), "翻译。"],
+        ["The tenant, ", ("name", "Carlos de Silva"), ", gave SSN ", ("id_number", "512-44-9087"), "."], ["快递放在", ("address", "朝阳区望京西路48号2栋1单元301室"), "门口，", ("phone", "010-62345678"), "。"],
+        ["会议在3月12日举行，费用 1200 元，编号 20240312001。"], ["The Grand Hotel opened in 1987 with 240 rooms."],
+    ]
+    right = wrong = missed = 0
+    for parts in cases:
+        text, want = _marked(parts)
+        got = set(pii.find_spans([text])[0])
+        right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert right / (right + wrong) > 0.7 and right / (right + missed) > 0.7, (right, wrong, missed)
+
+
+def test_decoding_is_the_best_path():
+    """Against all paths of short windows, padded ones among them."""
+    rng = np.random.default_rng(2)
+    tagger = pii._tagger()
+    ids, classes = rng.integers(0, 200, (4, 4)).astype(np.int32), rng.integers(0, 12, (4, 4)).astype(np.int16)
+    mask = np.ones((4, 4), bool)
+    mask[1, 2:] = mask[3, 3:] = False
+    tags, _ = tagger.decode(ids, classes, mask)
+    e = tagger.emissions(ids, classes, mask)
+    for r in range(4):
+        n = int(mask[r].sum())
+        def score(path, r=r):
+            return tagger.w["start"][path[0]] + sum(e[t, r, k] for t, k in enumerate(path)) + sum(tagger.w["trans"][a, b] for a, b in itertools.pairwise(path))
+        assert score(tags[r, :n]) >= max(map(score, itertools.product(range(pii.TAGS), repeat=n))) - 1e-3 and not tags[r, n:].any()
+
+
 def test_redaction(spark):
     mail = "有事打14274680382，没人接就写信到 yuanzhou+hemu@corp.example。"
     far = "很多人把它和成本混为一谈。" * 400
