@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,23 @@ def ab_pairs(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     both = a.select(key, F.col(value).alias("baseline")).join(b.select(key, F.col(value).alias("candidate")), key)
     outcome = F.when(F.col("candidate") > F.col("baseline"), "win").when(F.col("candidate") < F.col("baseline"), "loss").otherwise("tie")
     return both.withColumn("outcome", outcome)
+
+
+def manifest_sums(runs: DataFrame, keys: list[str], size: str, seconds: str) -> DataFrame:
+    """``keys, runs, results, seconds``: totals of a manifest's runs; null sizes and times count nothing."""
+    return runs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("runs"), F.sum(F.col(size).cast("bigint")).alias("results"), F.round(F.sum(seconds), 6).alias("seconds")
+    )
+
+
+def replay(responses: DataFrame, run, as_of: datetime.date, versions: dict[str, dict]) -> DataFrame:
+    """Recorded responses run through the pipeline once for each version, the day held fixed.
+
+    ``run(responses, as_of=..., **options)`` gives a DataFrame; the results of
+    all versions stand below each other, named by ``version``.
+    """
+    out = None
+    for name, options in versions.items():
+        part = run(responses, as_of=as_of, **options).withColumn("version", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -154,13 +154,14 @@ def pattern_counts(documents: DataFrame, key: str, text: Column, patterns: dict[
     return rows.where("c is not null").select(key, "c.rule", "c.n")
 
 
-def word_counts(documents: DataFrame, key: str, text: Column, lists: dict[str, tuple[str, ...]]) -> DataFrame:
-    """``key, rule, n``: how often words of each list stand in a text, longest first, none inside another of its list."""
+def either(words: tuple[str, ...]) -> str:
+    """A pattern of plain words, longest first; words with an ellipsis stand for patterns and are left out."""
+    return "|".join(sorted((w for w in words if "…" not in w), key=lambda x: (-len(x), x)))
 
-    def pattern(words: tuple[str, ...]) -> str:
-        return "|".join(sorted(words, key=lambda x: (-len(x), x)))
 
-    return pattern_counts(documents, key, text, {rule: pattern(words) for rule, words in lists.items() if words})
+def word_counts(documents: DataFrame, key: str, text: Column, lists: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``key, rule, n``: how often words of each list stand in a text, longest first, none inside another of its list."""
+    return pattern_counts(documents, key, text, {rule: either(own) for rule, own in lists.items() if either(own)})
 
 
 def first_shares(df: DataFrame, keys: list[str], order: list[str], budget: int, decay: float = 0.72, most: int = 2000) -> DataFrame:

@@ -11,6 +11,16 @@ def cache_key(*parts: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*parts)), 256), 1, 32)
 
 
+#: Parts of a request that do not change its answer.
+NO_PART = ("session_id", "transport", "block_hosts")
+
+
+def fingerprint_of(source: Column, request: Column) -> Column:
+    """``cache_key`` of a request in JSON: by its members in order of name, without those that do not change its answer."""
+    members = F.map_filter(F.from_json(request, "map<string,string>"), lambda k, v: ~k.isin(*NO_PART))
+    return cache_key(source.alias("source"), F.map_from_entries(F.array_sort(F.map_entries(members))).alias("request"))
+
+
 def fresh_entries(cache: DataFrame, written: str, as_of: Column, ttl_seconds: float) -> DataFrame:
     """Entries younger than the time to live at ``as_of``; a null time is expired."""
     return cache.where(F.unix_micros(as_of) - F.unix_micros(F.col(written)) < F.lit(int(ttl_seconds * 1_000_000)))

@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.views import clean_text
-from inkwell.operators.lint import exit_state, lint_hits, lint_metrics, lint_stats, severity_totals
+from inkwell.operators.lint import exit_state, lint_hits, lint_metrics, lint_stats, lint_totals, top_rules
 from inkwell.operators.passages import passage_units, selected_passages
-from inkwell.operators.render import render, resolve_budget
+from inkwell.operators.render import fetched, render, resolve_budget
 from inkwell.operators.typography import at_level, findings
+from inkwell.functions import config as C
+from inkwell.operators import measures as M
+from inkwell.operators.evaluate import manifest_sums
+from inkwell.operators.joins import not_skipped
+from inkwell.operators.rules import GENRES, MANUAL, genre_skips, rule_ids, words
+from inkwell.operators.store import fingerprint_of
 from inkwell.plans.merging import _ranked
 from inkwell.plans.registry import query
 from inkwell.session import materialize, table
@@ -37,7 +43,7 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("severity_totals")
 def _totals(spark: SparkSession, d: str) -> DataFrame:
-    return exit_state(severity_totals(lint_hits(_docs(spark, d)), lint_metrics(_docs(spark, d))), "high")
+    return exit_state(lint_totals(_docs(spark, d)), "high")
 
 
 @query("rule_counts")
@@ -77,7 +83,17 @@ def _select(spark: SparkSession, d: str) -> DataFrame:
 
 @query("render_budgeted")
 def _render(spark: SparkSession, d: str) -> DataFrame:
-    return render(materialize(_ranked(spark, d), "ranked"), table(spark, d, "questions"), 8000)
+    return render(materialize(_ranked(spark, d), "ranked"), table(spark, d, "questions"), 8000, table(spark, d, "source_calls"))
+
+
+@query("render_images")
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    return render(materialize(_ranked(spark, d), "ranked"), table(spark, d, "questions"), 8000, images=True)
+
+
+@query("render_fetched")
+def _fetched(spark: SparkSession, d: str) -> DataFrame:
+    return fetched(A.extract_pages(_recorded(spark, d, "parallel"), 12000), 12000)
 
 
 @query(
@@ -193,3 +209,113 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
     raw = A.build_request(F.col("q"), (F.size("checks") * 20).cast("int"), F.coalesce("pq", none), none)
     got = F.from_json(raw, "struct<query:string,count:int,sites:string>")
     return table(spark, d, "questions").where("q is not null").select("id", got.alias("r")).select("id", "r.query", "r.count", "r.sites")
+
+
+@query(
+    "second_requests",
+    """SELECT id, trim(coalesce(nullif(trim(objective), ''), q)) AS objective, array_to_string(CASE WHEN len(k) > 0 THEN k ELSE [substr(trim(coalesce(objective, '')), 1, 120)] END, '|') AS queries,
+    CASE WHEN len(checks) > 0 THEN NULL ELSE 'x.test' END AS exclude_domains, 20 AS max_results FROM (SELECT *, list_filter(list_transform(pq, lambda x: trim(x)), lambda x: x <> '')[1:5] AS k FROM questions) WHERE q IS NOT NULL""",
+)
+def _second_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of the second source, read back from their JSON; domains to include make those to exclude idle."""
+    q = table(spark, d, "questions").where("q is not null")
+    raw = A.build_second(A.text_or("objective", "q"), A.keywords(F.col("pq"), F.col("objective")), F.col("checks"), F.array(F.lit("x.test")), F.lit(40))
+    got = F.from_json(raw, "struct<objective:string,search_queries:array<string>,max_results:int,source_policy:struct<include_domains:array<string>,exclude_domains:array<string>>>")
+    return q.select("id", got.alias("r")).select(
+        "id", "r.objective", F.array_join("r.search_queries", "|").alias("queries"), F.array_join("r.source_policy.exclude_domains", "|").alias("exclude_domains"), "r.max_results"
+    )
+
+
+@query(
+    "argument_errors",
+    """SELECT call_id, CASE WHEN coalesce(trim(query_id), '') = '' THEN 'empty query' WHEN n_docs < 1 THEN 'count below 1' WHEN source = 'parallel' AND call_id % 7 = 0 THEN 'no images from this source'
+    WHEN call_id % 5 = 0 THEN 'no such time range' END AS error FROM source_calls""",
+)
+def _arguments(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("call_id") % 7 == 0, "image").otherwise("web")
+    span = F.when(F.col("call_id") % 5 == 0, "2026-02-30..2026-03-01").otherwise("OneWeek")
+    none = F.lit(None)
+    error = A.argument_error(F.col("query_id"), F.col("n_docs"), none.cast("int"), F.col("source"), kind, span, none.cast("string"))
+    return table(spark, d, "source_calls").select("call_id", error.alias("error"))
+
+
+@query(
+    "query_overrides",
+    """SELECT id, substr(CASE WHEN coalesce(trim(objective), '') <> '' THEN trim(objective) ELSE trim(coalesce(q, '')) END, 1, 100) AS query FROM questions""",
+)
+def _overrides(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "questions").select("id", F.substring(F.coalesce(A.text_or("objective", "q"), F.lit("")), 1, A.QUERY_CHARS).alias("query"))
+
+
+@query(
+    "cache_fingerprints",
+    r"""SELECT call_id, substr(sha256('{"source":"' || source || '","request":{' || array_to_string(list_transform(list_sort(list_filter(json_keys(request), lambda k: k NOT IN ('session_id', 'transport', 'block_hosts'))),
+    lambda k: '"' || k || '":"' || replace(replace(json_extract_string(request, '$.' || k), '', '\'), '"', '"') || '"'), ',') || '}}'), 1, 32) AS key FROM source_calls WHERE request IS NOT NULL""",
+)
+def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "source_calls").where("request is not null")
+    return calls.select("call_id", fingerprint_of(F.col("source"), F.col("request")).alias("key"))
+
+
+@query(
+    "lexicon_hits",
+    " UNION ALL ".join(
+        f"SELECT doc_id, '{rule}' AS rule, CAST(len(regexp_extract_all(text, '{M.either(own)}')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '{M.either(own)}')"
+        for rule, own in words().items()
+    ),
+)
+def _lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return M.word_counts(_docs(spark, d), "doc_id", F.col("text"), words())
+
+
+@query(
+    "top_rules",
+    "SELECT doc_id, rule, n, place FROM (SELECT doc_id, rule, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, rule) AS INTEGER) AS place FROM ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{rule}' AS rule, CAST(len(regexp_extract_all(text, '{M.either(own)}')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '{M.either(own)}')"
+        for rule, own in words().items()
+    )
+    + ")) WHERE place <= 6",
+)
+def _top_rules(spark: SparkSession, d: str) -> DataFrame:
+    return top_rules(M.word_counts(_docs(spark, d), "doc_id", F.col("text"), words()), "doc_id")
+
+
+@query(
+    "manual_rules",
+    f"""WITH r(rule) AS (VALUES {", ".join(f"('{r}')" for r in MANUAL)}), s(genre, skip) AS (VALUES {", ".join(f"('{g}', '{x}')" for g, v in GENRES.items() for x in v["skip"])}),
+    g(genre) AS (VALUES {", ".join(f"('{g}')" for g in GENRES)}) SELECT genre, rule FROM g, r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.genre = g.genre AND (r.rule = s.skip OR starts_with(r.rule, s.skip || '_')))""",
+)
+def _manual(spark: SparkSession, d: str) -> DataFrame:
+    """Rules left to people, under each genre that does not skip them."""
+    every = not_skipped(rule_ids(spark), genre_skips(spark), "rule", "skip", "genre")
+    return every.where(F.col("rule").isin(*MANUAL)).select("genre", "rule")
+
+
+@query(
+    "card_kinds",
+    """SELECT query_id, string_agg(k, ' / ' ORDER BY r, k) AS kinds FROM (SELECT query_id, k, min(rank) AS r FROM (SELECT query_id, rank, extra['ruyi'] AS k FROM docs) WHERE coalesce(k, '') <> '' GROUP BY query_id, k) GROUP BY query_id""",
+)
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of structured answers of each query, in the order in which they come."""
+    kind = F.try_element_at("extra", F.lit("ruyi"))
+    each = table(spark, d, "docs").select("query_id", "rank", kind.alias("k")).where("k <> ''").groupBy("query_id", "k").agg(F.min("rank").alias("r"))
+    kinds = F.array_sort(F.collect_list(F.struct("r", "k")))
+    return each.groupBy("query_id").agg(F.array_join(F.transform(kinds, lambda x: x["k"]), " / ").alias("kinds"))
+
+
+@query(
+    "manifest_sums",
+    "SELECT source, cached, count(*) AS runs, CAST(sum(n_docs) AS BIGINT) AS results, round(sum(elapsed), 6) AS seconds FROM source_calls GROUP BY ALL",
+)
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    return manifest_sums(table(spark, d, "source_calls"), ["source", "cached"], "n_docs", "elapsed")
+
+
+@query(
+    "config_counts",
+    """SELECT call_id, CASE WHEN regexp_full_match(c, '-?[0-9]+') AND try_cast(c AS BIGINT) BETWEEN 1 AND 30 THEN CAST(c AS BIGINT) ELSE 10 END AS count FROM (SELECT call_id, json_extract_string(request, '$.count') AS c FROM source_calls)""",
+)
+def _counts_of(spark: SparkSession, d: str) -> DataFrame:
+    """A number of the configuration within its bounds, else its default."""
+    return table(spark, d, "source_calls").select("call_id", C.whole_number(F.get_json_object("request", "$.count"), 1, 30, 10).alias("count"))

@@ -3,13 +3,16 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions.views import HIDDEN, clean_text, prose_view, typography_view, visible_text
-from inkwell.operators.lint import analyze, lint_hits, lint_metrics
+from inkwell.operators.lint import analyze, dense_hits, lint_hits, lint_metrics, lint_totals, report, severity_totals
 from inkwell.operators.passages import fit_body, query_terms, select_passages, units_of, without_navigation
-from inkwell.operators.render import allocate, even_shares, most_shown, render, render_results
+from inkwell.operators.render import (
+    CLOSE, OPEN, allocate, assemble, even_shares, most_shown, render, render_cards, render_errors, render_images, render_pages, render_results, render_sources_line, shed,
+)
 from inkwell.operators.rewrite import changed_only, strip_front_matter, wrap_colors
 from inkwell.operators.rules import active_rules, builtin_rules
 from inkwell.operators.typography import check
@@ -56,6 +59,34 @@ def test_metrics():
     assert rules_of("好。\n\n行。\n\n对。")[1]["S7b"]["value"] == 1
     hits, rows = rules_of("然而这样。但是那样。因此如此。")
     assert rows["W3"]["flagged"] and hits == ["W3"] * 3
+    hits, rows = rules_of("总而言之，换言之，毫无疑问。")
+    assert rows["W1"]["flagged"] and hits == ["W1"] * 3
+    assert rules_of("展望未来，据悉，赋能。")[0] == ["P3", "C5", "C9"]
+
+
+def test_hooks_and_dense_hits_by_brute_force():
+    own = {**RULES, "regex_rules": {"X": {"severity": "low", "patterns": ["[^、，。]+、[^、，。]+、[^、，。]+"], "checks": {"[^、，。]+、[^、，。]+、[^、，。]+": "three_similar_items"}}}}
+    assert [h[0] for h in analyze("高山、大河、平原，", "default", own)[0]] == ["X"] and not analyze("高山、很长很长很长的大河、平原，", "default", own)[0]
+    rng = random.Random(3)
+    for _ in range(60):
+        starts = sorted(rng.sample(range(900), 12))
+        hits = [("r", "low", a, a + 4, "") for a in starts]
+        apart = []
+        for h in hits:
+            if not apart or h[2] >= apart[-1][3]:
+                apart.append(h)
+        want = [h for h in apart if any(sum(o[2] >= w[2] and o[3] <= w[2] + 120 for o in apart) >= 3 and w[2] <= h[2] and h[3] <= w[2] + 120 for w in apart)]
+        assert dense_hits(hits, np.arange(1000), 3, 120) == want
+
+
+def test_totals_agree_with_hits_and_metrics(spark):
+    texts = [(1, "总而言之，换言之，毫无疑问。希望这对你有帮助。", "default"), (2, "", None), (3, None, "quant"), (4, "然而这样。但是那样。因此如此。——这——那。", "video")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, genre string")
+    got = {r.doc_id: (r.high, r.mid, r.low) for r in lint_totals(df).collect()}
+    assert got[2] == (0, 0, 0) and 3 not in got
+    slow = {r.doc_id: (r.high, r.mid, r.low) for r in severity_totals(lint_hits(df), lint_metrics(df)).collect()}
+    assert slow == {k: v for k, v in got.items() if any(v)}
+    assert "W1" in report(texts[0][1]) and "for people" in report("")
 
 
 def test_lint_frames(spark):
@@ -128,17 +159,62 @@ def test_every_result_is_shown_or_counted(spark, count, budget):
     rows = [("Q", k, f"h/{k}", f"t{k}", "b", None, None, None) for k in range(1, count + 1)]
     df = spark.createDataFrame(rows, "query_id string, place int, url string, title string, body string, site string, publish string, authority int")
     got = render(df, spark.createDataFrame([("Q", "t")], "id string, q string"), budget).collect()
-    shown = sum(f"\n   h/{k}\n" in got[0].text for k in range(1, count + 1))
-    foot = re.search(r"\[…(\d+) more results not shown\]$", got[0].text)
+    shown = sum(f"\n    h/{k}\n" in got[0].text for k in range(1, count + 1))
+    foot = re.search(r"^…(\d+) more results not shown$", got[0].text, re.M)
     assert shown + (int(foot[1]) if foot else 0) == count == got[0].n_results and got[0].chars <= budget
     keys = ("query_id", "place", "url", "title", "body", "site", "publish", "authority")
-    assert got[0].text == render_results([dict(zip(keys, r, strict=True)) for r in rows], "t", budget)
+    assert got[0].text == assemble("t", [dict(zip(keys, r, strict=True)) for r in rows], budget)
 
 
 def test_no_more_than_most_shown_fit():
     for budget in (0, 60, 500, 8000):
         text = render_results([{}] * 1000, "", budget)
-        assert text.count("\n   \n") <= most_shown(budget)
+        assert len(re.findall(r"^\[\d+\] ", text, re.M)) <= most_shown(budget)
+
+
+HUGE = "长<<<x>>> " * 1300
+EXTREME = {"title": HUGE, "url": "http://x/" + "a" * 9999, "body": HUGE, "site": HUGE, "publish": HUGE, "authority": 1, "ruyi": HUGE, "also_urls": [HUGE] * 5, "sources": {"a": 1, "b": 2}}
+PLAIN = {"title": "标题", "url": "http://x.test/1", "body": "正文。" * 60, "site": "x.test", "publish": "2026-09-01", "authority": 2}
+IMAGE = {k: HUGE for k in ("url", "width", "height", "alt", "shape", "blur", "watermark")}
+
+
+@pytest.mark.parametrize("budget", [800, 2000, 8000, 15000, 30000])
+def test_assembled_text_keeps_the_budget(budget):
+    for rows in ([], [PLAIN], [EXTREME], [PLAIN] * 30, [EXTREME] * 100):
+        for errors in ([], [HUGE] * 40):
+            for cards in ([], [f"{HUGE}{k}" for k in range(40)]):
+                text = assemble(HUGE, rows, budget, len(rows), cards, errors, ["one 5"])
+                assert len(text) <= budget and text.count("<<<") == 2 and text.endswith(CLOSE)
+                inside = text[text.index(OPEN) :]
+                assert bool(errors) == ("\n! " in inside) and bool(cards) == ("Structured answers" in inside)
+    small = [len(assemble(HUGE, [EXTREME] * 9, b, 9, [HUGE], [HUGE] * 3)) - b for b in (1, 50, 200, 400)]
+    assert max(small) < 420 and len(assemble("q", [PLAIN], 8000)) > 200
+
+
+def test_every_part_tells_what_it_leaves_out():
+    assert render_cards(["a", "b", "a"], 200) == "Structured answers: a / b" and render_cards([], 9) == ""
+    assert render_cards(["a" * 30, "b" * 30], 10).endswith("and 1 kinds more")
+    assert len(render_sources_line([PLAIN] * 90, 120)) <= 120 and "more" in render_sources_line([PLAIN] * 90, 120) and render_sources_line([PLAIN], 0) == ""
+    assert render_errors(["x" * 900] * 3, 100)[-1].endswith("more errors") and len(render_errors(["x" * 900], 0)[0]) >= 20 and not render_errors([], 9)
+    table = render_images([{"title": "t", "images": [IMAGE] * 30}], 4000)
+    assert 1 <= table.count("\n    ") <= 20 and len(table) <= 4000 and render_images([{"images": None}], 100) == ""
+    assert len(render_images([{"title": HUGE, "images": [IMAGE]}], 300)) <= 300
+    assert shed([("sources", 0), ("body text", 4), ("err", 3)], 10) == ["", "body t", "err"]
+
+
+@pytest.mark.parametrize("budget", [300, 600, 3000, 12000])
+def test_fetched_pages_keep_the_budget_and_some_text(budget):
+    for count in (1, 3, 20):
+        for page in ({"title": "t", "url": "http://x.test", "content": "长文。" * 4000}, {"title": HUGE, "url": HUGE, "content": HUGE, "publish": "2026-01-02T"}):
+            text = render_pages([page] * count, budget, ["only the first 20"])
+            shown = len(re.findall(r"^\[\d+\] ", text, re.M))
+            rest = re.search(r"…(\d+) more pages", text)
+            assert len(text) <= budget and shown + (int(rest[1]) if rest else 0) == count and text.count("<<<") == 2
+
+
+def test_surplus_goes_to_longer_bodies():
+    rows = [{**PLAIN, "body": "短。"}, {**PLAIN, "body": "长文很长。" * 500}]
+    assert len(render_results(rows, "天气", 3000)) > 1800
 
 
 def test_allocation():
