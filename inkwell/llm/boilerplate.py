@@ -510,7 +510,7 @@ def main_body(
         .agg(*tally, F.count(F.lit(1)).alias("hosts"))
         .where((F.col("rows") >= max(common_share * total, 4 * least_pages)) & (F.col("hosts") > 1))
     )
-    everywhere = _on_pages(everywhere, first, ["path"], least_pages)
+    everywhere = _on_pages(everywhere, first, ["path"], least_pages, bounded=True)
     everywhere = everywhere.select("path", content.alias("content"), (F.col("heads") >= 0.25 * F.col("rows")).alias("heads")).toPandas()
     often = votes.join(sizes, "host").where((F.col("rows") >= host_share * F.col("host_rows")) & (F.col("rows") >= least_pages))
     wins = (
@@ -540,9 +540,16 @@ def main_body(
     return rows.mapInPandas(_extract(spark.sparkContext.broadcast(common), emit), schema)
 
 
-def _on_pages(often: DataFrame, first: DataFrame, keys: list[str], pages: int) -> DataFrame:
-    """Those of ``often`` that enough different pages show; counted one by one only where 63 bits cannot tell."""
+def _on_pages(often: DataFrame, first: DataFrame, keys: list[str], pages: int, bounded: bool = False) -> DataFrame:
+    """Those of ``often`` that enough different pages show; counted one by one only where 63 bits cannot tell.
+
+    Pages are told apart before they meet by key, so that a path on a large
+    part of all pages is no one task. ``bounded`` says that ``often`` may be
+    broadcast, which spares all other rows the way.
+    """
     sure, few = often.where(F.bit_count("bits") >= pages), often.where(F.bit_count("bits") < pages)
     rows = first.where(F.col("page").isNotNull()).select(*keys, "page")
-    counted = rows.join(few.select(*keys), keys, "left_semi").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pages"))
+    if bounded:
+        rows = rows.join(F.broadcast(few.select(*keys)), keys, "left_semi")
+    counted = rows.groupBy(*keys, "page").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pages"))
     return sure.unionByName(few.join(counted.where(F.col("n_pages") >= pages).select(*keys), keys))
