@@ -60,6 +60,25 @@ f AS (SELECT s, key FROM k JOIN n USING (s) WHERE regexp_matches(key, '\\p{{L}}'
 SELECT hit_id, CAST(line_no AS BIGINT) AS line_no FROM k JOIN f USING (s, key)"""
 
 
+SQL["p1_collapsed"] = SQL["p1_found"].replace("SELECT rec, keep AS keep_id, id AS copy_id FROM g WHERE keep < id", """,
+alone AS (SELECT 'docs' AS rec, hit_id AS id FROM docs WHERE hit_id NOT IN (SELECT id FROM g WHERE rec = 'docs'))
+SELECT rec, id, count(*) AS n_copies FROM (SELECT rec, keep AS id FROM g UNION ALL SELECT rec, id FROM alone) GROUP BY ALL""")
+
+SQL["p6_cleaned"] = SQL["p6_found"].replace("SELECT hit_id, CAST(line_no AS BIGINT) AS line_no FROM k JOIN f USING (s, key)", """,
+r AS (SELECT hit_id, line_no FROM k JOIN f USING (s, key)),
+w AS (SELECT hit_id, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line FROM (SELECT hit_id, string_split(body, chr(10)) AS parts FROM docs WHERE body IS NOT NULL)),
+c AS (SELECT hit_id, string_agg(line, chr(10) ORDER BY line_no) AS body FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.hit_id = w.hit_id AND r.line_no = w.line_no) GROUP BY hit_id)
+SELECT d.hit_id, CASE WHEN d.body IS NOT NULL THEN coalesce(c.body, '') END AS body FROM docs d LEFT JOIN c ON d.hit_id = c.hit_id""")
+
+_TRUST = "greatest(CASE WHEN list_contains(map_keys(sources), 'parallel') THEN 2 ELSE 0 END, CASE WHEN list_contains(map_keys(sources), 'doubao') THEN 1 ELSE 0 END)"
+SQL["p4_survivors"] = SQL["p4_found"].replace("SELECT merged_id, query_id, page, sources,", f"SELECT merged_id, query_id, page, sources, body, publish, title, authority, coalesce({_TRUST}, 0) AS trust, epoch_us(merged_at) AS moment,").replace(
+    "FROM m GROUP BY ALL HAVING", ", " + ", ".join(
+        f"arg_max(struct_pack(v := {c}), (trust, moment, -merged_id)) FILTER (WHERE {known}) AS best_{c}"
+        for c, known in (("body", "size > 0"), ("publish", "day IS NOT NULL"), ("title", strip_sql("title") + " <> ''"), ("authority", "authority IS NOT NULL"))
+    ) + " FROM m GROUP BY query_id, page HAVING"
+).replace("coalesce(s.k, '') AS sources_key FROM g", "coalesce(s.k, '') AS sources_key, g.query_id, g.page, best_body.v AS body, best_publish.v AS publish, best_title.v AS title, best_authority.v AS authority FROM g")
+
+
 @_query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rec, keep_id, copy_id`` of every hit and merged record written again."""
