@@ -248,20 +248,58 @@ def _pages_of(urls) -> set:
     return {_page_key(u) for u in (urls if urls is not None else ()) if not _is_blank(u)}
 
 
+def _same_pages(left: list[str | None], right: list[str | None]) -> np.ndarray:
+    """Whether two addresses are of one page, pair by pair: two pointers over each of their pieces.
+
+    The pieces are host, port, path, anchor and the parameters in their order
+    after sorting; cases of the host alone are folded.
+    """
+    equal = np.array([u == v for u, v in zip(left, right, strict=True)], bool)
+    rows = np.flatnonzero(~equal)
+    a, b = ([page_pieces(side[k]) for k in rows] for side in (left, right))
+    same = np.array([len(p[4]) == len(q[4]) for p, q in zip(a, b, strict=True)], bool)
+    rows, a, b = rows[same], [p for p, ok in zip(a, same, strict=True) if ok], [q for q, ok in zip(b, same, strict=True) if ok]
+    if len(rows):
+        equal[rows] = same_folded([p[0] for p in a], [q[0] for q in b], small_letters())
+        pieces = [[*p[1:4], *(x for kv in sorted(p[4]) for x in kv)] for p in a], [[*q[1:4], *(x for kv in sorted(q[4]) for x in kv)] for q in b]
+        owner = np.repeat(rows, [len(x) for x in pieces[0]])
+        agree = same_folded(*[[x for own in side for x in own] for side in pieces], as_written())
+        equal[owner[~agree]] = False
+    return equal
+
+
+def _same_sets(left: list, right: list) -> np.ndarray:
+    """Whether two lists hold the same set of pages, pair by pair: their pages in the order of their hashes, each once."""
+
+    def ordered(lists: list) -> tuple[list[list[str]], np.ndarray]:
+        flat = [(k, u) for k, x in enumerate(lists) if x is not None for u in x if not _is_blank(u)]
+        h = _page_hashes([u for _, u in flat])
+        out: list[list[str]] = [[] for _ in lists]
+        seen: set[tuple] = set()
+        for at in np.lexsort((h[1], h[0])) if flat else ():
+            k, u = flat[at]
+            if (name := (k, int(h[0, at]), int(h[1, at]))) not in seen:
+                seen.add(name)
+                out[k].append(u)
+        return out, np.array([len(x) for x in out], np.int64)
+
+    (a, n), (b, m) = ordered(left), ordered(right)
+    equal = n == m
+    owner = np.repeat(np.flatnonzero(equal), n[equal])
+    agree = _same_pages([u for x, ok in zip(a, equal, strict=True) if ok for u in x], [u for x, ok in zip(b, equal, strict=True) if ok for u in x])
+    equal[owner[~agree]] = False
+    return equal
+
+
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Compares each row with the first record of its group; a mere collision gets its exact key."""
     for b in batches:
         equal = same_folded([t or "" for t in b["title"]], [t or "" for t in b["r_title"]], letters_and_digits())
         equal |= (b["rec"] == "docs").to_numpy()
         equal &= np.array([(p is None) == (q is None) and p == q for p, q in zip(b["query_id"], b["r_query_id"], strict=True)], bool)
-        equal &= np.array([u == v or _page_key(u) == _page_key(v) for u, v in zip(b["url"], b["r_url"], strict=True)], bool)
-        equal &= np.array(
-            [
-                k == "docs" or _pages_of(u) == _pages_of(v)
-                for k, u, v in zip(b["rec"], b["also_urls"], b["r_also_urls"], strict=True)
-            ],
-            bool,
-        )
+        equal &= _same_pages(list(b["url"]), list(b["r_url"]))
+        merged = np.flatnonzero((b["rec"] != "docs").to_numpy())
+        equal[merged] &= _same_sets(list(b["also_urls"].iloc[merged]), list(b["r_also_urls"].iloc[merged]))
         exact: list[str | None] = [None] * len(b)
         for k in np.flatnonzero(~equal):
             r = b.iloc[k]

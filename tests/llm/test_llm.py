@@ -47,6 +47,32 @@ def test_two_pointers_agree_with_compacted_texts():
     assert copies.same_folded(left, right, copies.letters_and_digits()).tolist() == plain
 
 
+def test_pages_agree_with_their_keys():
+    rng = random.Random(5)
+    hosts, paths, pairs = ["a.test", "A.test", "www.a.test", "m.b.test:80", "b.test"], ["", "/", "/x", "/x/", "/x/index.html", "/X"], ["a=1", "b=2", "utm_x=3", "a=%31", "b=2&b=2", ""]
+    urls = [None, "", " ", *(f"{rng.choice(('http:', 'https:', ''))}//{rng.choice(hosts)}{rng.choice(paths)}?{'&'.join(rng.sample(pairs, 3))}{rng.choice(('', '#top', '#a=b'))}" for _ in range(300))]
+    left, right = [rng.choice(urls) for _ in range(3000)], [rng.choice(urls) for _ in range(3000)]
+    assert copies._same_pages(left, right).tolist() == [copies._page_key(u) == copies._page_key(v) for u, v in zip(left, right, strict=True)]
+    sets = [None, [], *([rng.choice(urls[:12]) for _ in range(rng.randrange(4))] for _ in range(200))]
+    a, b = [rng.choice(sets) for _ in range(2000)], [rng.choice(sets) for _ in range(2000)]
+    assert copies._same_sets(a, b).tolist() == [copies._pages_of(x) == copies._pages_of(y) for x, y in zip(a, b, strict=True)]
+
+
+def test_pieces_and_expressions_give_one_page(spark):
+    """The second reader of addresses must not drift from the expressions: all notations of one page, and no others."""
+    from inkwell.functions.urls import canonical_url
+
+    rng = random.Random(6)
+    urls = ["http://a.test", "HTTPS://WWW.A.test:443/", "//a.test/index.php", "a.test/x?b=1&a=2#!k", "http://[::1]:8/x", "http://a.test:99999/", "mailto:x", "http://u:p@a.test/%7Ex?q=%20+"]
+    urls += ["".join(rng.choice(("http", "://", "www.", "a.t", "/", "?", "#", "=", "&", "%41", ":80", "m.", " ", "中", "index.html")) for _ in range(9)) for _ in range(2000)]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", canonical_url(F.col("u")).alias("k")).collect()
+    by_expression, by_pieces = collections.defaultdict(set), collections.defaultdict(set)
+    for r in rows:
+        by_expression[r.k].add(r.u)
+        by_pieces[copies._page_key(r.u)].add(r.u)
+    assert sorted(map(sorted, by_expression.values())) == sorted(map(sorted, by_pieces.values()))
+
+
 def found(spark, docs, merged):
     d, m = spark.createDataFrame(docs, DOCS), spark.createDataFrame(merged, MERGED)
     return sorted((r.rec, r.keep_id, r.copy_id) for r in copies.find_copies(d, m, 10).collect())
