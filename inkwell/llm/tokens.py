@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder and file of the vocabulary; both can be passed instead.
+#: Folder and file of the vocabulary, as ranks of byte sequences; both can be passed instead.
 TOKENIZERS = "/opt/tokenizers"
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.tiktoken"
+# How this vocabulary's texts fall into words before their bytes are merged.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores already
-    from tokenizers import Tokenizer
+def _encoding(path: str):
+    import tiktoken
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    rows = (line.split() for line in Path(path).read_bytes().splitlines() if line)
+    return tiktoken.Encoding("inkwell", pat_str=WORDS, mergeable_ranks={base64.b64decode(token): int(rank) for token, rank in rows}, special_tokens={})
 
 
 def count_tokens(texts: list[str], path: str) -> list[int]:
-    return [len(e.ids) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    """Tokens of each text; strings of special tokens are ordinary text."""
+    encoding = _encoding(path)
+    return [len(encoding.encode_ordinary(t)) for t in texts]
 
 
 def with_tokens(documents: DataFrame, keep: list[str], folder: str = TOKENIZERS, file: str = VOCABULARY) -> DataFrame:
@@ -35,10 +39,7 @@ def with_tokens(documents: DataFrame, keep: list[str], folder: str = TOKENIZERS,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), 200):
-                part = b.iloc[k : k + 200]
-                sizes = count_tokens(part["text"].fillna("").tolist(), path)
-                yield part.drop(columns="text").assign(n_tokens=sizes)
+            yield b.drop(columns="text").assign(n_tokens=count_tokens(b["text"].fillna("").tolist(), path))
 
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens bigint"
     return documents.select(*keep, F.col("text")).mapInPandas(run, schema)

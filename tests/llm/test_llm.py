@@ -265,6 +265,22 @@ def test_sequences_of_any_length(spark):
 # Problem 7
 
 
+def test_tokens_are_those_of_the_vocabulary():
+    """The same vocabulary read by another library."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    from inkwell.llm import tokens
+
+    other = Tokenizer.from_file(os.path.join(tokens.TOKENIZERS, "byte_bpe_50k.json"))
+    other.encode_special_tokens = True
+    rng = random.Random(7)
+    texts = ["", "a" * 50_000, "中文" * 9000, "x<|endoftext|>y", " \n\t " * 400, "It's 3.14 e\u0301 \u200b 😀"]
+    texts += ["".join(chr(rng.choice((32, 10, 39, rng.randrange(33, 127), rng.randrange(0x4E00, 0x9FFF), rng.randrange(0xA0, 0x2FF)))) for _ in range(80)) for _ in range(300)]
+    assert tokens.count_tokens(texts, os.path.join(tokens.TOKENIZERS, tokens.VOCABULARY)) == [len(e.ids) for e in other.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_text_once_and_wastes_little(seed):
     rng = np.random.default_rng(seed)
