@@ -79,6 +79,13 @@ def test_hooks_and_dense_hits_by_brute_force():
         assert dense_hits(hits, np.arange(1000), 3, 120) == want
 
 
+def test_hits_at_head_and_tail(spark):
+    text = "你是不是也经常这样？" + "字" * 300 + "\n记住三点。" + "尾" * 30 + "愿你安好。"
+    rows = lint_hits(spark.createDataFrame([(1, text, None), (1, text, None)], "doc_id bigint, text string, genre string")).collect()
+    assert len(rows) == 2 * len({(r.rule, r.start_pos) for r in rows}) and {"P1", "P4", "P5"} <= {r.rule for r in rows}
+    assert all(text[r.start_pos : r.end_pos].strip().startswith(r.matched[:5]) and r.matched[:3] in r.snippet and r.line == 1 + text[: r.start_pos].count("\n") for r in rows)
+
+
 def test_totals_agree_with_hits_and_metrics(spark):
     texts = [(1, "总而言之，换言之，毫无疑问。希望这对你有帮助。", "default"), (2, "", None), (3, None, "quant"), (4, "然而这样。但是那样。因此如此。——这——那。", "video")]
     df = spark.createDataFrame(texts, "doc_id bigint, text string, genre string")
