@@ -40,8 +40,29 @@ def _min_ranks(entries: Column) -> Column:
     return F.map_from_entries(low)
 
 
+def slim(docs: DataFrame) -> DataFrame:
+    """``docs`` with the size, the hash and the hit of each body in place of its text.
+
+    Merging and ranking need no more of a body; the texts of the results that
+    are shown are fetched by ``with_bodies`` afterwards.
+    """
+    body = F.coalesce("body", F.lit(""))
+    return docs.withColumn("body", F.struct(F.char_length(body).alias("size"), F.sha2(body, 256).alias("key"), F.col("hit_id").alias("hit")))
+
+
+def with_bodies(merged: DataFrame, docs: DataFrame) -> DataFrame:
+    """Results of slim hits with the texts of their bodies; a hit that stands in ``docs`` twice gives its row twice."""
+    texts = docs.select(F.col("hit_id").alias("_hit"), F.coalesce("body", F.lit("")).alias("_text"))
+    got = merged.join(texts, F.col("body.hit") == F.col("_hit"), "left")
+    return got.withColumn("body", F.coalesce("_text", F.lit(""))).drop("_hit", "_text")
+
+
+def _is_slim(df: DataFrame) -> bool:
+    return df.schema["body"].dataType.typeName() == "struct"
+
+
 def merge_by_url(docs: DataFrame) -> DataFrame:
-    """One row per query and page.
+    """One row per query and page; ``docs`` may be ``slim``.
 
     The longest body represents the page, the first of equals; ``url`` to
     ``body_source`` are its. ``sources`` has each source's least rank,
@@ -50,7 +71,9 @@ def merge_by_url(docs: DataFrame) -> DataFrame:
     without url and title are dropped; hits without a page stay single.
     Null texts count as empty. ``pos`` is the place of the first hit.
     """
-    url, title, body = (F.coalesce(c, F.lit("")) for c in ("url", "title", "body"))
+    url, title = (F.coalesce(c, F.lit("")) for c in ("url", "title"))
+    light = _is_slim(docs)
+    body = F.col("body") if light else F.coalesce("body", F.lit(""))
     d = docs.select(
         "query_id", "hit_id", url.alias("url"), title.alias("title"), body.alias("body"),
         site_of(F.col("site"), F.col("url")).alias("site"), "source", "rank", "publish", "authority", "rank_score",
@@ -61,7 +84,7 @@ def merge_by_url(docs: DataFrame) -> DataFrame:
     d = d.withColumn("key", F.when(F.col("page") == "", F.concat(F.lit("\x00"), F.col("hit_id").cast("string"))).otherwise(F.col("page")))
     keys = ["query_id", "key"]
     order = Window.partitionBy(*keys).orderBy("pos")
-    size = F.char_length("body")
+    size = F.col("body.size") if light else F.char_length("body")
     d = d.withColumn("top", F.max(size).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     d = d.withColumn("switch", (F.col("top") < size) & F.col("top").isNotNull())
     d = d.withColumn("new", F.row_number().over(Window.partitionBy(*keys, "url").orderBy("pos")) == 1)
@@ -101,9 +124,11 @@ def merge_by_body(merged: DataFrame) -> DataFrame:
     representative cannot take away a body that merged here.
     """
     name = strip(F.col("title"))
-    fit = (F.char_length(name) >= LEAST_TITLE) & (F.char_length("body") >= LEAST_BODY)
+    light = _is_slim(merged)
+    size, text = (F.col("body.size"), F.col("body.key")) if light else (F.char_length("body"), F.col("body"))
+    fit = (F.char_length(name) >= LEAST_TITLE) & (size >= LEAST_BODY)
     own = F.sha2(F.to_json(F.struct("query_id", "pos")), 256)
-    m = merged.withColumn("key", F.when(fit, F.sha2(F.concat_ws("\x00", name, "body"), 256)).otherwise(own))
+    m = merged.withColumn("key", F.when(fit, F.sha2(F.concat_ws("\x00", name, text), 256)).otherwise(own))
     keep = [*FIELDS, "also_urls", "images"]
     grouped = m.groupBy("query_id", "key").agg(
         F.min_by(F.struct(*keep), "pos").alias("f"),

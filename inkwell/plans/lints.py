@@ -83,12 +83,14 @@ def _select(spark: SparkSession, d: str) -> DataFrame:
 
 @query("render_budgeted")
 def _render(spark: SparkSession, d: str) -> DataFrame:
-    return render(materialize(_ranked(spark, d), "ranked"), table(spark, d, "questions"), 8000, table(spark, d, "source_calls"))
+    ranked = materialize(_ranked(spark, d).drop("images"), "ranked")
+    return render(ranked, table(spark, d, "questions"), 8000, table(spark, d, "source_calls"), docs=table(spark, d, "docs"))
 
 
 @query("render_images")
 def _images(spark: SparkSession, d: str) -> DataFrame:
-    return render(materialize(_ranked(spark, d), "ranked"), table(spark, d, "questions"), 8000, images=True)
+    ranked = materialize(_ranked(spark, d), "ranked")
+    return render(ranked, table(spark, d, "questions"), 8000, images=True)
 
 
 @query("render_fetched")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.urls import canonical_url
-from inkwell.operators.merge import merge_by_body, merge_by_url
+from inkwell.operators.merge import merge_by_body, merge_by_url, slim
 from inkwell.operators.rank import rank, rrf, top_k, validate_scores
 from inkwell.plans.registry import query
 from inkwell.plans.scalars import AS_OF
@@ -72,12 +72,12 @@ def _by_body(spark: SparkSession, d: str) -> DataFrame:
     _BY_BODY + " SELECT w.query_id, w.url, w.title, w.hit_id AS first_hit, round(y.score, 9) AS score FROM w JOIN y ON w.query_id IS NOT DISTINCT FROM y.query_id AND w.ck = y.ck WHERE w.o = 1",
 )
 def _rrf(spark: SparkSession, d: str) -> DataFrame:
-    m = merge_by_body(merge_by_url(table(spark, d, "docs")))
+    m = merge_by_body(merge_by_url(slim(table(spark, d, "docs"))))
     return m.select("query_id", "url", "title", F.col("pos")["hit_id"].alias("first_hit"), F.round(rrf(F.col("sources")), 9).alias("score"))
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    m = merge_by_body(merge_by_url(validate_scores(table(spark, d, "docs"))))
+    m = merge_by_body(merge_by_url(validate_scores(slim(table(spark, d, "docs")))))
     return rank(m, table(spark, d, "questions"), AS_OF)
 
 

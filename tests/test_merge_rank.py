@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from inkwell.functions import dates as D
-from inkwell.operators.merge import merge_by_body, merge_by_url
+from inkwell.operators.merge import merge_by_body, merge_by_url, slim, with_bodies
 from inkwell.operators.rank import rank, rrf, validate_scores
 
 IMAGE = "array<struct<url:string,width:string,height:string,alt:string,shape:string,blur:string,watermark:string,style:string>>"
@@ -55,6 +55,18 @@ def test_content_merge_is_exact(spark):
     ]
 
 
+def test_slim_merging_gives_the_same(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/docs.parquet")
+    columns = ("query_id", "url", "title", "body", "sources", "also_urls", "n_hits")
+
+    def rows(df):
+        return sorted(str((r.query_id, r.url, r.title, r.body, sorted(r.sources.items()), r.also_urls, r.n_hits)) for r in df.select(*columns).collect())
+
+    whole = rows(merge_by_body(merge_by_url(docs)))
+    assert rows(with_bodies(merge_by_body(merge_by_url(slim(docs))), docs)) == whole and whole
+    assert with_bodies(merge_by_body(merge_by_url(slim(docs.limit(0)))), docs).count() == 0
+
+
 def test_scores(spark):
     df = spark.createDataFrame([({"doubao": 1, "parallel": 2},), ({"local": 1},), ({},), (None,)], "sources map<string,int>")
     got = [r.s for r in df.select(rrf(F.col("sources")).alias("s")).collect()]
