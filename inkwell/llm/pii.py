@@ -93,17 +93,17 @@ class Tagger:
         with np.load(path) as z:
             return cls({k: z[k].astype(np.float32) for k in z.files})
 
-    def _run(self, ids: np.ndarray, classes: np.ndarray, mask: np.ndarray, direction: str) -> np.ndarray:
-        n, steps = ids.shape
+    def _run(self, kinds: np.ndarray, at: np.ndarray, mask: np.ndarray, direction: str) -> np.ndarray:
+        """States after each character; ``at`` gives, step by step, the place of each text's character among ``kinds``."""
+        steps, n = at.shape
         size = self.hidden
-        by_id, by_class, u = self.by_id[direction], self.by_class[direction], self.u[direction]
+        added, u = self.by_id[direction][kinds // _CLASSES] + self.by_class[direction][kinds % _CLASSES], self.u[direction]
         h, c = np.zeros((n, size), u.dtype), np.zeros((n, size), u.dtype)
         z, product = np.empty((n, 4 * size), u.dtype), np.empty((n, 4 * size), u.dtype)
         out = np.empty((steps, n, size), u.dtype)
         order = range(steps) if direction == "f" else range(steps - 1, -1, -1)
         for t in order:
-            np.take(by_id, ids[:, t], axis=0, out=z, mode="clip")
-            z += by_class[classes[:, t]]
+            np.take(added, at[t], axis=0, out=z, mode="clip")
             np.matmul(h, u, out=product)
             z += product
             _tanh(z, z)
@@ -122,8 +122,12 @@ class Tagger:
 
     def emissions(self, ids: np.ndarray, classes: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Scores of the tags: shape (steps, texts, tags)."""
-        both = np.concatenate([self._run(ids, classes, mask, "f"), self._run(ids, classes, mask, "b")], axis=2)
-        return both @ self.w["wo"] + self.w["bo"]
+        kinds, at = np.unique(ids.astype(np.int64) * _CLASSES + classes, return_inverse=True)
+        at = np.ascontiguousarray(at.reshape(ids.shape).T)
+        out = self.w["bo"]
+        for direction, weights in zip("fb", np.split(self.w["wo"], 2), strict=True):
+            out = out + self._run(kinds, at, mask, direction).reshape(-1, self.hidden) @ weights
+        return out.reshape(*at.shape, -1)
 
     def decode(self, ids: np.ndarray, classes: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags of each window and by how much each beats being outside.
