@@ -186,3 +186,23 @@ def _colors(spark: SparkSession, d: str) -> DataFrame:
     from inkwell.operators.rewrite import wrap_colors
 
     return table(spark, d, "documents").select("doc_id", wrap_colors(F.col("text")).alias("text"))
+
+
+_BODY = r"regexp_replace(text, '^\x{FEFF}?---[ \t]*\r?\n(?:(?s:.*?)\n)??---[ \t]*(?:\r?\n|$)(?:[ \t]*\r?\n)*', '')"
+
+
+@query("changed_texts", f"SELECT doc_id, {_BODY} AS text FROM documents WHERE {_BODY} <> text")
+def _changed(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that lose a front matter, rewritten; all others are left alone."""
+    from inkwell.operators.rewrite import changed_only, strip_front_matter
+
+    return changed_only(table(spark, d, "documents").select("doc_id", "text"), "text", strip_front_matter)
+
+
+@query(
+    "redacted_requests",
+    r"""SELECT call_id, regexp_replace(replace(request, '"count":', '[redacted]'), '(^|[^A-Za-z0-9_])query($|[^A-Za-z0-9_])', '\1[redacted]\2', 'g') AS request FROM source_calls""",
+)
+def _redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Known values out of logged requests: a long one wherever it stands, a short one as a whole word."""
+    return table(spark, d, "source_calls").select("call_id", T.redact(F.col("request"), ['"count":', "query"]).alias("request"))

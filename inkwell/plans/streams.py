@@ -53,3 +53,11 @@ def _decayed(spark: SparkSession, d: str) -> DataFrame:
     as_of = F.lit("2024-01-31T00:00:00Z").cast("timestamp")
     out = S.run_available(S.decayed(_events(spark, d), "ts", "1 day", ["event_type"], "value", as_of))
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", F.round("decayed", 6).alias("decayed"))
+
+
+@query("stream_union", "SELECT event_id, event_type FROM events")
+def _union(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams, of one kind of event and of all others, side by side."""
+    kind = F.col("event_type") == "click"
+    both = S.union_streams(_events(spark, d).where(kind), _events(spark, d).where(~kind | kind.isNull()))
+    return S.run_available(both.select("event_id", "event_type"))
