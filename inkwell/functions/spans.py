@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkwell.functions.urls import let
 
 
 def find_spans(text: Column, pattern: str) -> Column:

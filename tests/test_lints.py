@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.functions.views import HIDDEN, clean_text, prose_view, typography_view, visible_text
+from inkwell.functions.views import clean_text, prose_view, typography_view, visible_text
 from inkwell.operators.lint import analyze, dense_hits, lint_hits, lint_metrics, lint_totals, report, severity_totals
 from inkwell.operators.passages import fit_body, query_terms, select_passages, units_of, without_navigation
 from inkwell.operators.render import (
